@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, secrets
+from lodestone.llm import langid, mixing, secrets
 from lodestone.llm.tokens import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op6_language_id": langid.op6_language_id,
     "op9_token_counts": op9_token_counts,
 }
 
