@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, langid, mixing, neardup, secrets
+from lodestone.llm import decontaminate, html, langid, mixing, neardup, secrets
 from lodestone.llm.tokens import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": langid.op6_language_id,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_token_counts": op9_token_counts,
+    "op10_html_extract": html.op10_html_extract,
 }
 
 ORACLE: dict[str, str] = {
