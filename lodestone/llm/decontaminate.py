@@ -102,10 +102,10 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
 def decontaminate(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose texts overlap no item; a null or empty text stays."""
     cols = docs.columns
-    bad = cut(overlaps(docs, bench, doc_id, text, item_id, item_text).select("key").distinct(), "leaks")
+    bad = cut(overlaps(docs, bench, doc_id, text, item_id, item_text).select(F.col("key").alias("__bad")).distinct(), "leaks")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_SEEDS else bad
     row = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    row = row.join(bad, F.col("__key") == F.col("key"), "left_anti")
+    row = row.join(bad, F.col("__key") == F.col("__bad"), "left_anti")
     return row.select(*[row[f"`{c}`"] for c in cols])
 
 

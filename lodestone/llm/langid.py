@@ -141,7 +141,7 @@ def predict(docs: DataFrame, text: str, model: Model | None, pred: str = "lang_p
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # bounded by max_contexts
-    cols = [f.name for f in docs.schema]
+    cols = [c for c in docs.columns if c not in (pred, score, "bits_per_byte")]
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = held.value

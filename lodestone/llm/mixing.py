@@ -107,28 +107,28 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def _per_row(df: DataFrame) -> DataFrame:
-    """``copies`` of the i-th of n_rows equal rows: an even share of n_copies."""
-    return df.withColumn("copies", F.expr("CAST(n_copies DIV n_rows + IF(i <= n_copies % n_rows, 1, 0) AS LONG)"))
+    """``__copies`` of the i-th of n_rows equal rows: an even share of n_copies."""
+    return df.withColumn("__copies", F.expr("CAST(__n_copies DIV __n_rows + IF(__i <= __n_copies % __n_rows, 1, 0) AS LONG)"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (0, 1 or more times), with their own columns only."""
     cols = docs.columns
-    got = cut(copies(docs, doc_id, text, source, **how).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "n_rows", "n_copies"), "copies")
-    n, most = got.agg(F.count("*"), F.max("n_rows")).first()
+    got = cut(copies(docs, doc_id, text, source, **how).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("n_rows").alias("__n_rows"), F.col("n_copies").alias("__n_copies")), "copies")
+    n, most = got.agg(F.count("*"), F.max("__n_rows")).first()
     size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     row = docs.withColumn("__n", size)
     if (most or 0) > 1:
-        row = row.withColumn("i", F.row_number().over(Window.partitionBy(doc_id, source, "__n").orderBy(F.xxhash64(text))))
+        row = row.withColumn("__i", F.row_number().over(Window.partitionBy(doc_id, source, "__n").orderBy(F.xxhash64(text))))
     else:
-        row = row.withColumn("i", F.lit(1))
+        row = row.withColumn("__i", F.lit(1))
     got = F.broadcast(got) if n <= BROADCAST_ROWS else got
     row = row.join(got, F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
-    row = _per_row(row).where("copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, CAST(copies AS INT))")))
+    row = _per_row(row).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, CAST(__copies AS INT))")))
     return row.select(*[row[f"`{c}`"] for c in cols])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = copies(table(spark, sf_dir, "documents"))
-    got = _per_row(got.withColumn("i", F.explode(F.expr("sequence(1, CAST(n_rows AS INT))"))))
-    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    got = _per_row(got.withColumnsRenamed({"n_rows": "__n_rows", "n_copies": "__n_copies"}).withColumn("__i", F.explode(F.expr("sequence(1, CAST(__n_rows AS INT))"))))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("__copies") * F.col("size")).alias("taken"), "source", F.col("__copies").alias("copies"))

@@ -329,7 +329,7 @@ def find_pii(docs: DataFrame, text: str = "text", base: str = "base_spans", adde
     k is the place in ``KINDS``; s and e are code points. A null text counts as empty; repeated rows give a row each.
     """
     held = docs.sparkSession.sparkContext.broadcast(trained())
-    cols = docs.columns
+    cols = [c for c in docs.columns if c not in (base, added)]
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -162,7 +162,7 @@ def grade(docs: DataFrame, text: str, model: Model, at_least: int = 1, least_tai
     A null text counts as empty and is graded like any other. Repeated rows are graded alike; other columns pass through.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # CELLS weights
-    cols = docs.columns
+    cols = [c for c in docs.columns if c not in ("expected_grade", "tail", "keep")]
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
