@@ -88,10 +88,11 @@ def _inverse(m: np.ndarray) -> list[list[float]] | None:
 
 
 def _solve(ms: pd.Series, bs: pd.Series) -> pd.Series:
+    """X with X * b = m; None where b is singular or the shapes do not fit."""
     out = []
     for m, b in zip(ms, bs, strict=True):
         try:
-            x = None if m is None or b is None else np.linalg.solve(np.array([list(r) for r in m], dtype=float), np.array([list(np.atleast_1d(r)) for r in b], dtype=float))
+            x = None if m is None or b is None else np.linalg.solve(np.array([list(r) for r in b], dtype=float).T, np.array([list(r) for r in m], dtype=float).T).T
             out.append(None if x is None else x.tolist())
         except (np.linalg.LinAlgError, ValueError):
             out.append(None)

@@ -26,12 +26,12 @@ class Service:
 
 
 class FileService(Service):
-    """Files in any format that Spark reads and writes; ``stream`` asks for a stream."""
+    """Files in any format that Spark reads and writes, with ``file_schema`` if given; ``stream`` asks for a stream."""
 
     def read(self, session, rows, options):
         reader = session.spark.readStream if options.get("stream") else session.spark.read
-        if options.get("schema"):
-            reader = reader.schema(options["schema"])
+        if options.get("file_schema"):
+            reader = reader.schema(options["file_schema"])
         return reader.format(options.get("format", "parquet")).options(**options.get("options", {})).load(options["address"])
 
     def write(self, session, rows, options):
