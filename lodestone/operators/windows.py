@@ -26,6 +26,11 @@ def last_interval(df: DataFrame, seconds: float, ts: str, by: list[str] | None =
     return joined.where(F.col(ts) >= F.col("__newest") - span).select(*df.columns)
 
 
+def since(df: DataFrame, seconds: float, ts: str) -> DataFrame:
+    """The rows of the last ``seconds`` by the clock."""
+    return df.where(F.col(ts).cast("timestamp") >= F.current_timestamp() - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(seconds)).cast("decimal(18,6)")))
+
+
 def running_count(df: DataFrame, seconds: int, ts: str, by: list[str], out: str = "n_window") -> DataFrame:
     """For each row, how many rows of its group lie within ``seconds`` up to it."""
     w = Window.partitionBy(*by).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-int(seconds * 1_000_000), 0)

@@ -132,6 +132,13 @@ class Planner:
     # -- selects
 
     def _select(self, q: t.Select, outer: Scope | None) -> str:
+        """``RAW`` also shows rows that were deleted softly."""
+        if "RAW" in q.modes and not self.s.show_deleted:
+            self.s.show_deleted = True
+            try:
+                return self._select(q, outer)
+            finally:
+                self.s.show_deleted = False
         self.s.out_units = {}
         if q.source is None:
             scope = Scope(self.s, [], "", outer)
@@ -400,6 +407,8 @@ class Planner:
             q = subst(q, {i: (t.Param("__any") if a is None else a) for i, a in enumerate(ref.args)})
         with self.s.bound({"__any": None}):
             sql, schema = self.query(q, outer)
+            if got.window is not None:
+                sql = self._windowed(got, sql, schema)
         try:
             root = self.s.catalog.root(name)
             key, refs, un, rname = root.key, {k.lower(): v for k, v in root.refs.items()}, root.units, root.name
@@ -407,6 +416,23 @@ class Planner:
             key, refs, un, rname = None, {}, {}, name
         return Rel(name, schema, key if key and any(f.name == key for f in schema) else None, refs, un, rname if got.simple else name), f"({sql})"
 
+    def _windowed(self, c: ClassDef, sql: str, schema: T.StructType) -> str:
+        """The members that the class's window leaves: the last n, or those within an interval of the newest (or of now, if it is negative).
+
+        Order is that of the first ORDER BY property, else of creation, else of the key.
+        """
+        names = {f.name.lower(): f.name for f in schema}
+        key = c.query.order[0].x.parts[-1].lower() if c.query.order else "created" if "created" in names else (self.s.catalog.root(c.name).key or "").lower()
+        if key not in names:
+            raise SyntaxProblem(f"the window of {c.name} needs an order")
+        col = quote(names[key])
+        if isinstance(c.window, int):
+            return f"SELECT * FROM ({sql}) ORDER BY {col} DESC NULLS LAST LIMIT {c.window}"
+        span = Resolver(self.s, Scope(self.s, []), self.query).sql(c.window)
+        negative = isinstance(c.window, t.Lit) and str(c.window.value).lstrip().startswith("-")
+        newest = f"CAST(current_timestamp() AS TIMESTAMP_NTZ) + {span}" if negative else f"(SELECT max({col}) FROM ({sql})) - {span}"
+        return f"SELECT * FROM ({sql}) WHERE {col} >= {newest}"
+
     def _values(self, n: t.Node, outer: Scope | None) -> tuple[Rel, str]:
         """Rows from a value: a range of integers, identities, structs, or any collection, whose rows have one column ``value``."""
         if isinstance(n, t.Param):

@@ -73,6 +73,7 @@ class Session:
         self.plans: list[str] = []
         self.base = ""
         self.listeners: list[Callable] = []
+        self.show_deleted = False
         self._whole: tuple[str, T.StructType] | None = None
         self._n_histograms = 0
         ship(spark)
@@ -285,6 +286,8 @@ class Session:
             self.catalog.actions[s.name.lower()] = s.body
         elif kind == "LOADER":
             self._load(s)
+        elif kind == "STORE":
+            self._open(s.body)
         else:
             self.catalog.others.setdefault(kind, {})[(s.name or fresh("o")).lower()] = s
         return None
@@ -302,6 +305,12 @@ class Session:
 
     def _drop(self, s: t.Drop) -> None:
         low = s.name.lower()
+        if s.kind == "STORE":
+            for name in self.store.manifest["tables"]:
+                self.catalog.drop_table(name)
+            self.store.drop()
+            self.store = None
+            return
         places = {"CLASS": self.catalog.classes, "EVENT": self.catalog.classes, "ENUMERATION": self.catalog.enums, "CONDITION": self.catalog.conditions, "ACTION": self.catalog.actions}
         place = places.get(s.kind, self.catalog.others.get(s.kind, {}))
         if low not in place:
@@ -339,9 +348,40 @@ class Session:
             self.catalog.prefixes[s.name] = str(s.value)
         elif s.what == "TRACE":
             self.trace[s.name] = bool(s.value)
-        elif s.what in ("OPEN", "CLOSE"):
-            if s.what == "CLOSE":
-                self.store = None
+        elif s.what == "CLOSE":
+            self.store = None
+        elif s.what == "OPEN":
+            self._open(s.value)
+        elif s.what == "START":
+            if s.name.lower() not in self.catalog.others.get("FSM", {}):
+                raise LookupError(f"no machine {s.name}")
+            self.catalog.others["FSM"][s.name.lower()].extra["started"] = True
+
+    def _open(self, options: object) -> None:
+        """A store by its path, or by options (path, name)."""
+        from lodestone.sources.store import Store
+
+        if isinstance(options, t.Struct):
+            values = {k.lower(): v.value for k, v in options.fields}
+            self.store = Store(self.spark, values["path"], values.get("name", "store"))
+        else:
+            self.store = Store(self.spark, options.value)
+        self.store_name = self.store.name
+        self.store.attach(self)
+
+    def inject(self, table: str, **values) -> None:
+        """A message: a row that sets off the actions of the classes it would enter, and is not kept."""
+        from lodestone.streaming.events import publish
+
+        row = self.planner.frame(t.Select([t.Item(self.as_node(v), k) for k, v in {"pin_id": -1, **values}.items()]))
+        schema = self.catalog.must(table).schema
+        for f in schema:
+            if f.name not in row.columns:
+                row = row.withColumn(f.name, F.lit(None).cast(f.dataType.simpleString()))
+        names: set[str] = set()
+        self.store._begin()
+        publish(self, self.store, table, None, row.selectExpr(*[f"`{f.name}`" for f in schema], *[f"`{c}`" for c in row.columns if c not in {f.name for f in schema}]), names)
+        self.store._end(sorted(names))
 
     # -- the whole store, and who may read
 
@@ -368,7 +408,7 @@ class Session:
         conds = []
         if "_acl" in names and self.identity != "owner":
             conds.append(f"(_acl IS NULL OR exists(_acl, a -> a.who = '{self.identity}' AND contains(a.mode, 'r')))")
-        if "_deleted" in names and not getattr(self, "show_deleted", False):
+        if "_deleted" in names and not self.show_deleted:
             conds.append("NOT coalesce(_deleted, FALSE)")
         return f"SELECT * FROM {table.view} WHERE {' AND '.join(conds)}" if conds else None
 

@@ -147,6 +147,10 @@ class Catalog:
             rows = [(n, ",".join(v)) for n, v in self.enums.items()]
         elif kind == "NAMEDOBJECTS":
             rows = [(n, f"{c}:{i}") for n, (c, i) in self.named.items()]
+        elif kind == "SERVICES":
+            from lodestone.sources.services import BUILT_IN
+
+            rows = [(n, type(x).__name__) for n, x in BUILT_IN.items()]
         elif kind == "STORES":
             rows = [(x.name, x.schema.simpleString()) for x in self.tables.values()]
         else:

@@ -462,7 +462,7 @@ class Store:
 
     def _remove(self, session, s: t.Delete, only: DataFrame | None = None) -> tuple[int, list[str]]:
         names, total = set(), 0
-        show, session.show_deleted = getattr(session, "show_deleted", False), s.kind != "DELETE"
+        show, session.show_deleted = session.show_deleted, s.kind != "DELETE"
         try:
             for name in self._targets(session, s.source):
                 rows, _, _ = self._selected(session, name, s.source, s.where, s.match, only)

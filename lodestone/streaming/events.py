@@ -120,8 +120,16 @@ def act(session, store, table: str, action: t.Node, rows: DataFrame, names: set[
         view = fresh("a")
         rows.createOrReplaceTempView(view)
         r = Resolver(session, Scope(session, [Rel("self", rows.schema, "pin_id", {}, {}, "self")], f"{view} AS self"), session.planner.query)
-        target = store._root(session, action.into[0][0]) if action.into else "pins"
+        target = store._root(session, action.into[0][0]) if action.into else table if action.copy_self else "pins"
+        from lodestone.sources.store import SYSTEM
+
         for row in action.rows:
+            if action.copy_self:  # the row itself with some properties replaced
+                new = {k: r.sql(_on(v, "self")) for k, v in row.fields}
+                cols = [c for c in rows.columns if c not in SYSTEM and c not in new]
+                df = session.spark.sql(f"SELECT {', '.join([*[f'self.{quote(c)}' for c in cols], *[f'{v} AS {quote(k)}' for k, v in new.items()]])} FROM {view} AS self")
+                store._insert_frame(session, target, df, [], None, names)
+                continue
             items = ", ".join(f"{r.sql(_on(v, 'self'))} AS {quote(k)}" for k, v in row.fields)
             df = session.spark.sql(f"SELECT {items} FROM {view} AS self")
             store._insert_frame(session, target, df, [c for c, _ in action.into], action.into[0][1] if action.into else None, names)

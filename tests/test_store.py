@@ -110,3 +110,31 @@ def test_batches_and_access(spark, s):
     guest = Session(spark, identity="guest")
     guest.register("docs", df, "id")
     assert [r["t"] for r in guest.execute("SELECT t FROM docs ORDER BY id").collect()] == ["pub", "mine"]
+
+
+def test_raw_windows_copies_and_messages(spark, s):
+    s.execute("DELETE FROM person WHERE name = 'ann'")
+    assert names(s, "SELECT RAW name FROM person") == ["ann", "bob", "cy"] and names(s) == ["bob", "cy"]
+    s.execute("CREATE CLASS newest AS SELECT * FROM person WHERE age > 0 ORDER BY age SET window=1")
+    assert names(s, "SELECT name FROM newest") == ["cy"]
+    s.execute("CREATE CLASS recent AS SELECT * FROM person ORDER BY created SET window=INTERVAL '1:00:00'; CREATE CLASS old AS SELECT * FROM person ORDER BY created SET window=INTERVAL '-100000:00:00'")
+    assert names(s, "SELECT name FROM recent") == ["bob", "cy"] == names(s, "SELECT name FROM old")
+    s.execute("CREATE CLASS minor AS SELECT * FROM person WHERE age = 7 SET onEnter=${INSERT @self, @{age = 8}}")
+    s.execute("INSERT INTO person (name, age) VALUES ('kid', 7)")
+    assert [r["age"] for r in s.execute("SELECT age FROM person WHERE name = 'kid' ORDER BY age").collect()] == [7, 8]
+    s.execute("CREATE CLASS bell AS SELECT * FROM person WHERE name = 'ring' SET onEnter=${INSERT INTO log (what) VALUES (@self.name)}")
+    s.inject("person", name="ring", age=1)
+    assert names(s, "SELECT what FROM log") == ["ring"] and "ring" not in names(s)
+
+
+def test_stores_by_statement(spark, tmp_path):
+    s = Session(spark)
+    s.execute(f"CREATE STORE AS {{path='file://{tmp_path}/a', name='one'}}; INSERT INTO x (v) VALUES (1)")
+    assert s.execute("SELECT CURRENT_STORE AS n, v FROM x").first() == ("one", 1)
+    s.execute("CLOSE STORE")
+    with pytest.raises(RuntimeError):
+        s.execute("INSERT INTO x (v) VALUES (1)")
+    s.execute(f"OPEN STORE 'file://{tmp_path}/a'")
+    moved = s.store.move(f"file://{tmp_path}/b")
+    assert Session(spark, Store(spark, moved.path)).execute("SELECT v FROM x").first()["v"] == 1
+    assert s.execute("SELECT COUNT(*) AS n FROM services").first()["n"] > 5
