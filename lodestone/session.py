@@ -76,10 +76,7 @@ class Session:
         self.show_deleted = False
         self._whole: tuple[str, T.StructType] | None = None
         self._n_histograms = 0
-        ship(spark)
-        linalg.register(spark)
-        bits.register(spark)
-        spark.udf.register("ls_stems", text.stem_udf)
+        prepare(spark)
         if store is not None:
             store.attach(self)
 
@@ -414,6 +411,19 @@ class Session:
 
 
 _SHIPPED: set[str] = set()
+_READY: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Register the functions that Spark lacks, once for each SparkSession."""
+    key = f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}"
+    if key in _READY:
+        return
+    ship(spark)
+    linalg.register(spark)
+    bits.register(spark)
+    spark.udf.register("ls_stems", text.stem_udf)
+    _READY.add(key)
 
 
 def ship(spark: SparkSession) -> None:
