@@ -66,9 +66,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     two aggregations with map-side combining; no neighbourhood is ever collected.
     """
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    nodes = e
-    last = None
-    while True:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -76,13 +74,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         small = cut(small, "edges")
-        sig = small.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         discard(large)
-        if e is not nodes:
-            discard(e)
+        discard(e)
         e = small
-        if tuple(sig) == last:
-            break
-        last = tuple(sig)
     roots = e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     return cut(roots.unionByName(roots.select(F.col("comp").alias("id"), "comp")).distinct(), "comp")
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every edge leads straight to the least node of its component: no node has two edges down, or one up and one down."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    ends = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not ends.agg(F.max((F.col("down") + F.col("up") > 1) & (F.col("down") > 0))).first()[0]

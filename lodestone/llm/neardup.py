@@ -1,19 +1,21 @@
 """Near-duplicate detection: improved consistent weighted sampling over TF-IDF shingles, banded, then verified.
 
 1. Document frequencies of five-word shingles, over all documents, in ``DF_CELLS`` hashed cells: the table has
-   one size at any corpus size. A shingle's weight is its count in the text times ln(1 + N / df of its cell).
+   one size at any corpus size. A shingle's weight is its count in the text times 1 + ln(N / df of its cell) / (2 ln N): the
+   factor is bounded, since an unbounded one lets the few words by which the copies in a large group differ outweigh all they share.
 2. Each text gets ``BANDS * ROWS`` consistent weighted samples; two texts agree in one with the
    probability of their weighted Jaccard similarity. Texts that agree in all rows of a band are candidates.
-3. In each bucket every text is compared with the bucket's leader, so the comparisons are as many as the members. Where members
-   of a bucket still belong to different classes, further members lead, twice as many in each round, until
-   every pair of a bucket lies in one class or has been compared. Pairs inside a class are never made.
+3. In each bucket every text is compared with the bucket's leader, so the comparisons are as many as the members. The leader is the
+   text with the most company in all its buckets, which in a group of copies is one close to the original.
+   Where members of a bucket still belong to different classes, further members lead, four times as many in each round, until every pair
+   of a bucket lies in one class, has been compared, or can't be similar: a text shares with others at most its shingles that some
+   other open text has as well. Pairs inside a class are never made.
 4. Comparisons use the exact weighted Jaccard similarity of the whole texts; links of at least ``threshold`` join classes.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,36 +33,64 @@ BANDS, ROWS = 16, 4
 DF_CELLS = 1 << 18
 #: Text keys that may be broadcast (about 50 bytes each in a hash table); more are joined by a shuffle.
 BROADCAST_KEYS = 300_000
-_WORD = re.compile(r"\w+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.int64(0x5EED)  #: the one bucket of texts without words
+#: A shingle that every text has weighs 1, one that a single text has weighs 1 + IDF_SHARE.
+IDF_SHARE = 0.5
+#: Cells in which the shingles of open texts are counted (a bit each for the second count).
+OPEN_CELLS = 1 << 24
+_BASE = 0x100000001B3  #: odd, so it has an inverse modulo 2**64
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash; bounded."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
 
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Code point -> the code point in lower case if it is part of a word, else 0."""
+    out = np.zeros(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c == "_" or c.isalnum():
+            out[i] = ord(c.lower()[0])
+    return out
 
 
-_HASHES = _Hashes()
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts in order, words of each text). A word is a run of letters, digits and underscores.
+
+    All characters are taken together: a word's hash is a difference of running sums, moved to where the word begins.
+    """
+    lens = np.array([len(t) for t in texts], dtype=np.int64)
+    start = np.cumsum(lens + 1) - lens - 1
+    codes = _letters()[np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    word = np.zeros(len(codes) + 2, dtype=np.int8)
+    word[1:-1] = codes != 0
+    edge = np.diff(word)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _powers(1 << max(20, int(len(codes)).bit_length()))
+    total = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=total[1:])
+    h = _mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    return h, np.diff(np.append(np.searchsorted(first, start), len(first)))
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle hash, count), sorted by text and hash. A text of fewer than five words is one shingle."""
-    words = [list(map(_HASHES.__getitem__, _WORD.findall(t.lower()))) for t in texts]
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    flat = np.fromiter((h for w in words for h in w), dtype=np.uint64, count=int(n.sum()))
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not texts:
+        return none
+    flat, n = word_hashes(texts)
     start = np.cumsum(n) - n
     owner, values = [], []
     if len(flat) >= SHINGLE:
@@ -79,7 +109,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owner.append(np.array([i]))
         values.append(_mix(np.array([s], dtype=np.uint64)))
     if not owner:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none
     o, v = np.concatenate(owner), np.concatenate(values)
     order = np.lexsort((v, o))
     o, v = o[order], v[order]
@@ -171,7 +201,7 @@ def document_frequencies(texts: DataFrame, text: str) -> np.ndarray:
     df = np.zeros(DF_CELLS)
     got = got[got["cell"] >= 0]
     df[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return np.log1p(n / np.maximum(df, 1)).astype(np.float32)
+    return (1 + IDF_SHARE * np.log(max(n, 1) / np.maximum(df, 1)) / math.log(n + 1.5)).astype(np.float32)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -235,31 +265,35 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     one = sk.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     one = cut(one, "texts")
     member = one.select("key", F.explode("bands").alias("band"))
-    lead = member.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    member = cut(member.join(lead, "band").select("band", "key", "lead", "n"), "buckets")
+    crowd = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    member = cut(member.join(crowd, "band").select("band", "key", "n"), "buckets")
+    rank = member.groupBy("key").agg(F.sum("n").alias("company"))
+    member = member.join(rank, "key").select("band", "key", "n", "company")
+    lead = member.groupBy("band").agg(F.max_by("key", F.struct("company", "key")).alias("lead"))
+    member = cut(member.join(lead, "band"), "buckets")
     pairs = cut(member.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     keys = cut(member.select(F.col("key").alias("k")).distinct(), "keys")
     small = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     texts = cut(rows.join(small, F.col("key") == F.col("k"), "left_semi").groupBy("key").agg(F.first("t").alias("t")), "candidates")
     links = cut(_compare(pairs, texts, idf, threshold), "links")
     comp = components(links)
-    left, tested, leaders = member.where("n > 2 AND key <> lead").select("band", "key"), pairs, 1
-    while True:
-        now = left.join(comp.select(F.col("id").alias("key"), "comp"), "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
-        mixed = now.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("band")
-        now = cut(now.join(mixed, "band"), "open")
-        if now.isEmpty():
-            break
-        rank = now.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy("key")))
-        front = rank.where(F.col("r") <= leaders).select("band", F.col("key").alias("a"), F.col("comp").alias("ca"))
-        more = now.select("band", F.col("key").alias("b"), F.col("comp").alias("cb")).join(front, "band").where("a < b AND ca <> cb").select("a", "b").distinct()
-        more = cut(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = cut(_compare(more, texts, idf, threshold), "links")
-        tested = tested.unionByName(more)
+    left, leaders = _open(member.where("n > 2 AND key <> lead").select("band", "key", "company"), comp), 2
+    if not left.isEmpty():
+        left = left.join(_shares(left.select("key").distinct(), texts, idf), "key").where(f"shared >= {threshold} * weight")
+        left = cut(left.join(one.select("key", "bands"), "key"), "open")
+    while not left.isEmpty():
+        # A partner of y is lighter than what y's shared part allows: so few of a bucket may be left that there is no pair.
+        fits = f"least(shared, {{0}}shared) >= {threshold} * (weight + {{0}}weight - least(shared, {{0}}shared))"
+        place = left.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("company"), "key")))
+        front = place.where(F.col("r") <= leaders).select("band", F.col("key").alias("a"), F.col("comp").alias("acomp"), F.col("weight").alias("aweight"), F.col("shared").alias("ashared"), F.col("bands").alias("abands"), F.col("r").alias("ar"))
+        # A pair is made in the first of the buckets that both are in, and so once.
+        once = "band = array_intersect(bands, abands)[0]"
+        more = place.join(front, "band").where(f"r > ar AND comp <> acomp AND {fits.format('a')} AND {once}").select("a", F.col("key").alias("b"))
+        found = cut(_compare(cut(more, "pairs"), texts, idf, threshold), "links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            comp = components(links)
-        left, leaders = rank.where(F.col("r") > leaders).select("band", "key"), leaders * 2
+            comp = _joined(comp, found)
+        rest = place.where(F.col("r") > leaders).select("band", "key", "company", "weight", "shared", "bands")
+        left, leaders = _open(rest, comp), leaders * 4
     named = one.select("key", "rep").join(comp.select(F.col("id").alias("key"), "comp"), "key", "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
     # Only texts that belong with others have to look up the class; the rest are their own.
     joint = named.join(comp.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("rep").alias("class_id"))
@@ -267,6 +301,69 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     return sk.select("doc_id", "key").join(named, F.col("key") == F.col("k")).select("doc_id", "key", "class_id")
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` after further links: only classes that links join are worked on."""
+    of = lambda side: comp.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = components(named)
+    moved = comp.join(more.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return cut(moved.unionByName(more.select("id", "comp").join(comp.select("id"), "id", "left_anti")), "comp")
+
+
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """The members of buckets in which texts of different classes are left, with ``comp``."""
+    now = members.join(comp.select(F.col("id").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    mixed = now.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("band")
+    return cut(now.join(mixed, "band"), "open")
+
+
+def _shares(keys: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(key, weight, shared) of texts: ``shared`` is the weight of the shingles that at least two of them have, at least.
+
+    Occurrences are counted in OPEN_CELLS hashed cells, as bits; cells that two shingles share only make ``shared`` larger.
+    """
+    spark = texts.sparkSession
+    own = cut(texts.join(keys, "key", "left_semi").select("key", "t"), "own")
+    bits = int(math.log2(OPEN_CELLS))
+
+    def cells(s: np.ndarray) -> np.ndarray:
+        return (s >> np.uint64(64 - bits)).astype(np.int64)
+
+    def count(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        once, twice = np.zeros(OPEN_CELLS, dtype=bool), np.zeros(OPEN_CELLS, dtype=bool)
+        for block in blocks:
+            for _, part in _pieces(block["t"].tolist()):
+                owner, s, _ = shingles(part)
+                c, n = np.unique(cells(s), return_counts=True)
+                twice[c[(n > 1) | once[c]]] = True
+                once[c] = True
+        for name, flags in ((1, once), (2, twice)):  # 64 cells are a number
+            words = np.packbits(flags, bitorder="little").view(np.int64)
+            at = np.flatnonzero(words)
+            yield pd.DataFrame({"w": at.astype(np.int32), "kind": name, "bits": words[at]})
+
+    found = own.select("t").mapInPandas(count, "w int, kind int, bits long")
+    # A cell is shared if one task saw it twice or two tasks saw it.
+    both = F.expr("aggregate(collect_list(IF(kind = 1, bits, NULL)), named_struct('o', 0L, 't', 0L), (a, x) -> named_struct('o', a.o | x, 't', a.t | (a.o & x)), a -> a.t)")
+    shared = found.groupBy("w").agg(both.alias("t"), F.coalesce(F.bit_or(F.expr("IF(kind = 2, bits, NULL)")), F.lit(0).cast("long")).alias("u")).select("w", F.expr("t | u").alias("bits")).where("bits <> 0").toPandas()
+    flags = np.zeros(OPEN_CELLS // 64, dtype=np.int64)
+    flags[shared["w"].to_numpy(dtype=np.int64)] = shared["bits"].to_numpy(dtype=np.int64)
+    held = spark.sparkContext.broadcast(flags)  # OPEN_CELLS bits: two megabytes
+
+    def weigh(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.unpackbits(held.value.view(np.uint8), bitorder="little")
+        for block in blocks:
+            weight, shared_ = [], []
+            for _, part in _pieces(block["t"].tolist()):
+                owner, s, n = shingles(part)
+                w = n * idf.value[_cells(s)].astype(np.float64)
+                weight.append(np.bincount(owner, w, minlength=len(part)))
+                shared_.append(np.bincount(owner, w * seen[cells(s)], minlength=len(part)))
+            yield pd.DataFrame({"key": block["key"], "weight": np.concatenate(weight) if weight else [], "shared": np.concatenate(shared_) if shared_ else []})
+
+    return own.mapInPandas(weigh, "key long, weight double, shared double")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of ``docs`` for each class, with its own columns: a row with the class's id, or any if ids are null."""
     cols = docs.columns

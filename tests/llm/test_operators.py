@@ -107,7 +107,7 @@ def brute_classes(texts):
         shingles[k] = s
         df.update(s.keys())
     n = len(texts)
-    w = {k: {s: c * math.log1p(n / df[s]) for s, c in x.items()} for k, x in shingles.items()}
+    w = {k: {s: c * (1 + neardup.IDF_SHARE * math.log(n / df[s]) / math.log(n + 1.5)) for s, c in x.items()} for k, x in shingles.items()}
     up = {k: k for k in texts}
 
     def root(k):
@@ -144,6 +144,30 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(got.values()))
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """Copies of one text that differ more from each other than from it, and texts that share a line only."""
+    base, r = prose(1, 100).split(), random.Random(4)
+    texts = [" ".join(base)]
+    for k in range(150):
+        near = list(base)
+        for _ in range(r.randrange(1, 5)):
+            near[r.randrange(100)] = f"edit{k}"
+        del near[r.randrange(90) :][: r.randrange(3)]
+        texts.append(" ".join(near[: 100 - r.randrange(12)]))
+    texts += [" ".join(base[:12]) + " " + prose(700 + k, 8) for k in range(60)]
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(df).collect()}
+    assert got == brute_classes(dict(enumerate(texts)))
+
+
+def test_word_hashes_follow_words():
+    texts = ["Ab cd", "", "AB,cd_9 é", "x", "日本 ab"]
+    h, n = neardup.word_hashes(texts)
+    found = [w for t in texts for w in re.findall(r"\w+", t.lower())]
+    assert list(n) == [2, 0, 3, 1, 2]
+    assert {(w, x) for w, x in zip(found, h.tolist())} and len(set(h.tolist())) == len(set(found)) and all((found[i] == found[j]) == (h[i] == h[j]) for i in range(8) for j in range(8))
+
+
 def test_near_duplicates_odd(odd, none):
     got = neardup.classes(odd).collect()
     assert len(got) == odd.count()
@@ -376,6 +400,8 @@ def brute_search(docs, queries, k):
 
 def test_search_equals_brute_force(spark, odd, none, monkeypatch):
     monkeypatch.setattr(search, "SHARD_TEXTS", 40)
+    monkeypatch.setattr(search, "QUERY_TERMS", 100)
+    monkeypatch.setattr(search, "FAN_IN", 2)
     monkeypatch.setattr(search, "BLOCK", 8)
     texts = [prose(i, 5 + i % 50) for i in range(150)] + [prose(3, 8)] * 15 + [None, "", "?"]
     data = rows(texts)
@@ -396,7 +422,7 @@ def test_search_prunes_and_stays_exact():
     terms = [np.unique(rng.zipf(1.3, 60) % 5000).astype(np.int64) for _ in range(3000)]
     tfs = [rng.integers(1, 5, len(t)).astype(np.int32) for t in terms]
     lens = np.array([x.sum() for x in tfs], dtype=float)
-    s = search.Shard(np.arange(3000), np.arange(3000), lens, terms, tfs, lens.mean())
+    s = search.Shard(np.arange(3000), np.arange(3000), lens, np.concatenate(terms), np.concatenate(tfs), np.array([len(x) for x in terms]), lens.mean())
     for q in range(40):
         w = rng.random(len(terms[q])) * 3
         full = np.zeros(3000)
