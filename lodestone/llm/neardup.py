@@ -1,16 +1,17 @@
 """Near-duplicate detection: improved consistent weighted sampling over TF-IDF shingles, banded, then verified.
 
-1. Document frequencies of five-word shingles, over all documents, in ``DF_CELLS`` hashed cells: the table has
-   one size at any corpus size. A shingle's weight is its count in the text times 1 + ln(N / df of its cell) / (2 ln N): the
+1. A shingle of five words weighs its count in the text times 1 + ln(N / df) / (2 ln N), df over all documents: the
    factor is bounded, since an unbounded one lets the few words by which the copies in a large group differ outweigh all they share.
 2. Each text gets ``BANDS * ROWS`` consistent weighted samples; two texts agree in one with the
-   probability of their weighted Jaccard similarity. Texts that agree in all rows of a band are candidates.
+   probability of their weighted Jaccard similarity. Texts that agree in all rows of a band are candidates. The samples, and nothing
+   else, take df from ``DF_CELLS`` hashed cells, a table of one size at any corpus size: candidates need no exact weights.
+   For comparisons, the df of every shingle of a candidate is counted exactly, over all documents.
 3. In each bucket every text is compared with the bucket's leader, so the comparisons are as many as the members. The leader is the
    text with the most company in all its buckets, which in a group of copies is one close to the original.
    Where members of a bucket still belong to different classes, further members lead, four times as many in each round, until every pair
    of a bucket lies in one class, has been compared, or can't be similar: a text shares with others at most its shingles that some
    other open text has as well. Pairs inside a class are never made.
-4. Comparisons use the exact weighted Jaccard similarity of the whole texts; links of at least ``threshold`` join classes.
+4. Comparisons use the exact weighted Jaccard similarity of the whole texts, by exact document frequencies; links of at least ``threshold`` join classes.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.int64(0x5EED)  #: the one bucket of texts without words
 #: A shingle that every text has weighs 1, one that a single text has weighs 1 + IDF_SHARE.
 IDF_SHARE = 0.5
-#: Cells in which the shingles of open texts are counted (a bit each for the second count).
+#: Cells in which the shingles of candidates, and of open texts, are marked (a bit each).
 OPEN_CELLS = 1 << 24
 _BASE = 0x100000001B3  #: odd, so it has an inverse modulo 2**64
 
@@ -182,8 +183,8 @@ def _pieces(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, lis
         start = end
 
 
-def document_frequencies(texts: DataFrame, text: str) -> np.ndarray:
-    """idf of every cell, from all rows: counts are summed in each task, then across tasks."""
+def cell_idf(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """idf of every cell, from all rows, and their number: counts are summed in each task, then across tasks."""
 
     def count(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells, rows = np.zeros(DF_CELLS, dtype=np.int64), 0
@@ -201,7 +202,68 @@ def document_frequencies(texts: DataFrame, text: str) -> np.ndarray:
     df = np.zeros(DF_CELLS)
     got = got[got["cell"] >= 0]
     df[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return (1 + IDF_SHARE * np.log(max(n, 1) / np.maximum(df, 1)) / math.log(n + 1.5)).astype(np.float32)
+    return (1 + IDF_SHARE * np.log(max(n, 1) / np.maximum(df, 1)) / math.log(n + 1.5)).astype(np.float32), n
+
+
+def _open_cells(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - int(math.log2(OPEN_CELLS)))).astype(np.int64)
+
+
+def weights(texts: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(key, s, w) of ``texts`` (key, t): shingles and their weights, df being exact over the ``n`` rows of ``rows`` (t).
+
+    Only shingles in cells that ``texts`` mark are counted; a cell that others share makes more to count, no other count.
+    """
+
+    def mark(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flags = np.zeros(OPEN_CELLS, dtype=bool)
+        for block in blocks:
+            flags[_open_cells(np.concatenate([np.asarray(s, dtype=np.int64) for s in block["s"]]).view(np.uint64))] = True
+        words = np.packbits(flags, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pd.DataFrame({"w": at.astype(np.int32), "bits": words[at]})
+
+    def own(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks:
+            got_s, got_c = [], []
+            for _, part in _pieces(block["t"].tolist()):
+                owner, s, c = shingles(part)
+                ends = np.cumsum(np.bincount(owner, minlength=len(part)))[:-1]
+                got_s += np.split(s.view(np.int64), ends)
+                got_c += np.split(c.astype(np.int32), ends)
+            yield pd.DataFrame({"key": block["key"], "s": pd.Series(got_s, index=block.index, dtype=object), "c": pd.Series(got_c, index=block.index, dtype=object)})
+
+    each = cut(texts.mapInPandas(own, "key long, s array<long>, c array<int>"), "shingles")
+    marked = each.where("size(s) > 0").select("s").mapInPandas(mark, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
+    flags = np.zeros(OPEN_CELLS // 64, dtype=np.int64)
+    flags[marked["w"].to_numpy(dtype=np.int64)] = marked["bits"].to_numpy(dtype=np.int64)
+    held = texts.sparkSession.sparkContext.broadcast(flags)  # OPEN_CELLS bits: two megabytes
+
+    def count(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.unpackbits(held.value.view(np.uint8), bitorder="little").view(bool)
+
+        def sums(parts: list) -> pd.DataFrame:
+            value, some = np.unique(np.concatenate(parts), return_counts=True)
+            return pd.DataFrame({"s": value.view(np.int64), "df": some})
+
+        parts, size = [], 0
+        for block in blocks:
+            for _, part in _pieces(block["t"].tolist()):
+                _, s, _ = shingles(part)
+                parts.append(s[seen[_open_cells(s)]])
+                size += len(parts[-1])
+                if size > 2_000_000:
+                    yield sums(parts)
+                    parts, size = [], 0
+        if size:
+            yield sums(parts)
+
+    df = rows.select("t").mapInPandas(count, "s long, df long").groupBy("s").agg(F.sum("df").alias("df")).where("df > 1")
+    flat = each.select("key", F.explode_outer(F.arrays_zip("s", "c")).alias("x")).select("key", F.col("x.s").alias("s"), F.col("x.c").alias("c"))
+    weight = (F.col("c") * (1 + IDF_SHARE * F.log(n / F.coalesce("df", F.lit(1))) / math.log(n + 1.5))).cast("float")
+    # Shingles that occur once are not stored; a text without any keeps empty lists.
+    x = F.filter(F.collect_list(F.struct("s", weight.alias("w"))), lambda e: e["s"].isNotNull())
+    return flat.join(df, "s", "left").groupBy("key").agg(x.alias("x")).select("key", F.col("x.s").alias("s"), F.col("x.w").alias("w"))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -213,24 +275,26 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / (float(a[1].sum()) + float(b[1].sum()) - both)
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar enough; texts: (key, t)."""
-    rows = pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+def _compare(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) of ``pairs`` that are similar enough; texts: (key, s, w)."""
+    of = lambda k: texts.select(F.col("key").alias(k), F.col("s").alias(f"s{k}"), F.col("w").alias(f"w{k}"))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "wa", "sb", "wb")
 
     def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
-        def of(key: int, t: str):
+        def of(key: int, s, w):
             if key not in known:
-                _, s, n = shingles([t])
-                known[key] = (s, n * idf.value[_cells(s)].astype(np.float64))
+                s = np.asarray(s, dtype=np.int64)
+                order = np.argsort(s)
+                known[key] = (s[order], np.asarray(w, dtype=np.float64)[order])
                 if len(known) > 64:
                     known.popitem(last=False)
             known.move_to_end(key)
             return known[key]
 
         for block in blocks:
-            ok = [weighted_jaccard(of(a, ta), of(b, tb)) >= threshold for a, b, ta, tb in block.itertuples(index=False)]
+            ok = [weighted_jaccard(of(a, sa, wa), of(b, sb, wb)) >= threshold for a, b, sa, wa, sb, wb in block.itertuples(index=False)]
             yield block.loc[ok, ["a", "b"]]
 
     return rows.mapInPandas(run, "a long, b long")
@@ -248,7 +312,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(_text(text)).alias("key"), _text(text).alias("t"))
-    idf = spark.sparkContext.broadcast(document_frequencies(rows, "t"))  # one megabyte
+    by_cell, n_rows = cell_idf(rows, "t")
+    idf = spark.sparkContext.broadcast(by_cell)  # one megabyte
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sketch(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,11 +340,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     keys = cut(member.select(F.col("key").alias("k")).distinct(), "keys")
     small = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     texts = cut(rows.join(small, F.col("key") == F.col("k"), "left_semi").groupBy("key").agg(F.first("t").alias("t")), "candidates")
-    links = cut(_compare(pairs, texts, idf, threshold), "links")
+    texts = cut(weights(texts, rows, n_rows), "weights")
+    links = cut(_compare(pairs, texts, threshold), "links")
     comp = components(links)
     left, leaders = _open(member.where("n > 2 AND key <> lead").select("band", "key", "company"), comp), 2
     if not left.isEmpty():
-        left = left.join(_shares(left.select("key").distinct(), texts, idf), "key").where(f"shared >= {threshold} * weight")
+        left = left.join(_shares(left.select("key").distinct(), texts), "key").where(f"shared >= {threshold} * weight")
         left = cut(left.join(one.select("key", "bands"), "key"), "open")
     while not left.isEmpty():
         # A partner of y is lighter than what y's shared part allows: so few of a bucket may be left that there is no pair.
@@ -289,7 +355,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         # A pair is made in the first of the buckets that both are in, and so once.
         once = "band = array_intersect(bands, abands)[0]"
         more = place.join(front, "band").where(f"r > ar AND comp <> acomp AND {fits.format('a')} AND {once}").select("a", F.col("key").alias("b"))
-        found = cut(_compare(cut(more, "pairs"), texts, idf, threshold), "links")
+        found = cut(_compare(cut(more, "pairs"), texts, threshold), "links")
         if not found.isEmpty():
             comp = _joined(comp, found)
         rest = place.where(F.col("r") > leaders).select("band", "key", "company", "weight", "shared", "bands")
@@ -317,24 +383,20 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     return cut(now.join(mixed, "band"), "open")
 
 
-def _shares(keys: DataFrame, texts: DataFrame, idf) -> DataFrame:
+def _shares(keys: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, weight, shared) of texts: ``shared`` is the weight of the shingles that at least two of them have, at least.
 
     Occurrences are counted in OPEN_CELLS hashed cells, as bits; cells that two shingles share only make ``shared`` larger.
     """
     spark = texts.sparkSession
-    own = cut(texts.join(keys, "key", "left_semi").select("key", "t"), "own")
-    bits = int(math.log2(OPEN_CELLS))
-
-    def cells(s: np.ndarray) -> np.ndarray:
-        return (s >> np.uint64(64 - bits)).astype(np.int64)
+    own = cut(texts.join(keys, "key", "left_semi").select("key", "s", "w"), "own")
 
     def count(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, twice = np.zeros(OPEN_CELLS, dtype=bool), np.zeros(OPEN_CELLS, dtype=bool)
         for block in blocks:
-            for _, part in _pieces(block["t"].tolist()):
-                owner, s, _ = shingles(part)
-                c, n = np.unique(cells(s), return_counts=True)
+            for at in range(0, len(block), 256):
+                s = np.concatenate([np.asarray(s, dtype=np.int64) for s in block["s"].iloc[at : at + 256]])
+                c, n = np.unique(_open_cells(s.view(np.uint64)), return_counts=True)
                 twice[c[(n > 1) | once[c]]] = True
                 once[c] = True
         for name, flags in ((1, once), (2, twice)):  # 64 cells are a number
@@ -342,7 +404,7 @@ def _shares(keys: DataFrame, texts: DataFrame, idf) -> DataFrame:
             at = np.flatnonzero(words)
             yield pd.DataFrame({"w": at.astype(np.int32), "kind": name, "bits": words[at]})
 
-    found = own.select("t").mapInPandas(count, "w int, kind int, bits long")
+    found = own.select("s").mapInPandas(count, "w int, kind int, bits long")
     # A cell is shared if one task saw it twice or two tasks saw it.
     both = F.expr("aggregate(collect_list(IF(kind = 1, bits, NULL)), named_struct('o', 0L, 't', 0L), (a, x) -> named_struct('o', a.o | x, 't', a.t | (a.o & x)), a -> a.t)")
     shared = found.groupBy("w").agg(both.alias("t"), F.coalesce(F.bit_or(F.expr("IF(kind = 2, bits, NULL)")), F.lit(0).cast("long")).alias("u")).select("w", F.expr("t | u").alias("bits")).where("bits <> 0").toPandas()
@@ -354,12 +416,11 @@ def _shares(keys: DataFrame, texts: DataFrame, idf) -> DataFrame:
         seen = np.unpackbits(held.value.view(np.uint8), bitorder="little")
         for block in blocks:
             weight, shared_ = [], []
-            for _, part in _pieces(block["t"].tolist()):
-                owner, s, n = shingles(part)
-                w = n * idf.value[_cells(s)].astype(np.float64)
-                weight.append(np.bincount(owner, w, minlength=len(part)))
-                shared_.append(np.bincount(owner, w * seen[cells(s)], minlength=len(part)))
-            yield pd.DataFrame({"key": block["key"], "weight": np.concatenate(weight) if weight else [], "shared": np.concatenate(shared_) if shared_ else []})
+            for s, w in zip(block["s"], block["w"], strict=True):
+                w = np.asarray(w, dtype=np.float64)
+                weight.append(float(w.sum()))
+                shared_.append(float(w[seen[_open_cells(np.asarray(s, dtype=np.int64).view(np.uint64))] == 1].sum()))
+            yield pd.DataFrame({"key": block["key"], "weight": weight, "shared": shared_})
 
     return own.mapInPandas(weigh, "key long, weight double, shared double")
 

@@ -160,6 +160,23 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == brute_classes(dict(enumerate(texts)))
 
 
+def test_near_duplicates_count_frequencies_exactly(spark):
+    """Three million shingles: with frequencies of hashed cells the pair would come to 0.8."""
+    r = random.Random(11)
+    line = [f"line{k}" for k in range(87)]
+    texts = [" ".join(line + [f"tail{k}" for k in range(13)]), " ".join(line + [f"end{k}" for k in range(4)])]
+    for i in range(3000):
+        words = [f"w{r.randrange(10**9)}" for _ in range(1000)]
+        texts.append(" ".join(words + line if i < 300 else words))
+    weigh = lambda df: 1 + neardup.IDF_SHARE * math.log(len(texts) / df) / math.log(len(texts) + 1.5)
+    shared, other = 83 * weigh(302), 17 * weigh(1)
+    assert shared / (shared + other) < 0.795
+    assert shared / (shared + 17 * weigh(len(texts) * 1000 / 2**18)) > 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(df).collect()}
+    assert got == {i: i for i in range(len(texts))}
+
+
 def test_word_hashes_follow_words():
     texts = ["Ab cd", "", "AB,cd_9 é", "x", "日本 ab"]
     h, n = neardup.word_hashes(texts)
