@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-A mask selects some of ``SPAN`` neighbouring words and ignores the others, so a hash of the selected words survives a
+A mask selects some of several neighbouring words and ignores the others, so a hash of the selected words survives a
 substitution at an ignored place. Hashes of all benchmark windows meet those of all document windows in a join; each hit puts an
 item and a document on a diagonal, along which the words around it are compared one by one. A
-document is contaminated where some window of the diagonal has enough equal words.
+document is contaminated where some window of the diagonal has enough equal words. The masks are complete: wherever the words of a
+window that are equal are enough, some mask selects equal words only at some place inside it, so every such window has a hit.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, table
 
-#: Places of the words that count; both masks have span 11 and weight 7.
-MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 1, 3, 4, 6, 9, 10))
+#: Places of the words that count. Each 16 words of which 3 differ have a hit, and so have 15 of which 2 differ.
+MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 7, 9, 10, 11))
+#: For items of SPAN to 14 words, of which 2 may differ: each 11 words of which 2 differ have a hit.
+SHORT_MASKS = ((0, 1, 3, 5, 6), (0, 1, 2, 8, 9))
+#: Items of so many words may have words that differ.
 SPAN = 11
 #: A hit is verified by a window of this many words with at least this many equal ones.
 WINDOW, NEED = 16, 13
-#: Items of fewer words than the span are looked for whole; of fewer than this they are no evidence.
+#: Items of fewer words than SPAN are looked for whole; of fewer than this they are no evidence.
 LEAST_WORDS = 5
 #: Benchmark seeds (about 100 bytes each in a hash table) that may be broadcast; more are joined by a shuffle.
 BROADCAST_SEEDS = 300_000
@@ -43,24 +47,32 @@ def _seed(words: str, at: str, mask: tuple[int, ...], m: int) -> Column:
     return F.expr(_seed_sql(words, at, mask, m))
 
 
-def benchmark_seeds(bench: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list[int]]:
-    """(seed, mask, j, item, words) of every distinct item, and the lengths of the short ones.
+def benchmark_seeds(bench: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list[tuple[int, tuple[int, ...]]]]:
+    """(seed, mask, j, item, words) of every distinct item, and the masks used, with their numbers.
 
     Equal items are one item under the least id; ``mask`` is the mask's number, or minus the length of a short item.
     """
     items = bench.select(F.col(item_id).alias("item"), _words(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("words"))
     items = cut(items.where(F.size("words") >= LEAST_WORDS).groupBy("words").agg(F.min("item").alias("item")), "items")
-    short = sorted(r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect())  # at most SPAN - LEAST_WORDS values
-    parts = []
-    long = items.where(F.size("words") >= SPAN).withColumn("j", F.explode(F.expr(f"sequence(0, size(words) - {SPAN})")))
-    for m, mask in enumerate(MASKS):
-        parts.append(long.select(_seed("words", "j", mask, m).alias("seed"), F.lit(m).alias("mask"), "j", "item", "words"))
-    for n in short:
-        parts.append(items.where(F.size("words") == n).select(_seed("words", "0", tuple(range(n)), -n).alias("seed"), F.lit(-n).alias("mask"), F.lit(0).alias("j"), "item", "words"))
+    lengths = {r[0] for r in items.where(F.size("words") < WINDOW - 1).select(F.size("words")).distinct().collect()}  # at most WINDOW - 1 - LEAST_WORDS values
+    kinds, parts = list(enumerate(MASKS)), []
+    if any(n >= SPAN for n in lengths):
+        kinds += enumerate(SHORT_MASKS, len(MASKS))
+    kinds += [(-n, tuple(range(n))) for n in sorted(lengths) if n < SPAN]
+    for m, mask in kinds:
+        span = mask[-1] + 1
+        if m < 0:
+            fit = F.size("words") == span
+        elif m < len(MASKS):
+            fit = F.size("words") >= WINDOW - 1
+        else:
+            fit = F.size("words").between(SPAN, WINDOW - 2)
+        places = items.where(fit).withColumn("j", F.explode(F.expr(f"sequence(0, size(words) - {span})")))
+        parts.append(places.select(_seed("words", "j", mask, m).alias("seed"), F.lit(m).alias("mask"), "j", "item", "words"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return cut(out, "seeds"), short
+    return cut(out, "seeds"), kinds
 
 
 def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -70,13 +82,12 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
     ``matched`` is the largest number of equal words on one diagonal, ``words`` the item's length. Null texts are
     empty; empty tables, and items of fewer than five words, give no rows. Equal items count as the one with the least id.
     """
-    seeds, short = benchmark_seeds(bench, item_id, item_text)
+    seeds, masks = benchmark_seeds(bench, item_id, item_text)
     n_seeds = seeds.count()
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(content).alias("key"), content.alias("t"))
     # Each row gives (place, seed) pairs made inside its array of words, so that no copy of the words goes with a pair.
-    kinds = [_windows(SPAN, _seed_sql("dw", "i", mask, m)) for m, mask in enumerate(MASKS)]
-    kinds += [_windows(n, _seed_sql("dw", "i", tuple(range(n)), -n)) for n in short]
+    kinds = [_windows(mask[-1] + 1, _seed_sql("dw", "i", mask, m)) for m, mask in masks]
     probe = rows.select("key", _words(F.col("t")).alias("dw")).select("key", F.explode(F.expr(f"concat({', '.join(kinds)})")).alias("w")).select("key", "w.i", "w.seed")
     seeds = F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds
     hits = cut(probe.join(seeds, "seed").select("key", (F.col("i") - F.col("j")).alias("diag"), "item", "words").distinct(), "hits")

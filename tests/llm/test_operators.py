@@ -1,6 +1,7 @@
 """The operators against brute force on small tables, and on the cases that break things: nulls, empty and long texts, copies, no rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -392,6 +393,19 @@ def test_decontamination_equals_brute_force(spark, odd, none):
     assert decontaminate.decontaminate(df, bench.limit(0)).count() == df.count()
 
 
+def test_decontamination_finds_every_accepted_pattern(spark):
+    """Items of 11 to 18 words with as many substitutions as the verifier accepts, at all places."""
+    items, docs = {n: [f"item{n}x{k}" for k in range(n)] for n in range(11, 19)}, []
+    for n, words in items.items():
+        win = min(decontaminate.WINDOW, n)
+        for places in itertools.combinations(range(n), win - math.ceil(win * decontaminate.NEED / decontaminate.WINDOW)):
+            docs.append((n, "before " + " ".join("other" if k in places else w for k, w in enumerate(words)) + " after"))
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(x["doc_id"], x["item"]) for x in decontaminate.overlaps(df, bench).collect()}
+    assert got == {(k, n) for k, (n, _) in enumerate(docs)}
+
+
 # -- 8 search -----------------------------------------------------------------------------------------------------
 
 
