@@ -6,7 +6,9 @@ A communication object has a stack of services; reading runs them from the sourc
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,11 +87,15 @@ class EncryptionService(Service):
 
 
 class StatementService(Service):
-    """Statements as text: ``read`` checks and normalises texts in ``value`` on the driver."""
+    """Statements as text: ``read`` checks and normalises all texts in ``value``, in the executors; ``most`` limits them if given."""
 
     def read(self, session, rows, options):
-        texts = [r["value"] for r in rows.limit(options.get("most", 1000)).collect()]
-        return session.spark.createDataFrame([(render(s),) for x in texts for s in parse(x)], "value string")
+        def normal(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for block in blocks:
+                yield pd.DataFrame({"value": [render(s) for x in block["value"] for s in parse(x)]}, dtype=object)
+
+        rows = rows.limit(options["most"]) if "most" in options else rows
+        return rows.select("value").mapInPandas(normal, "value string")
 
     def write(self, session, rows, options):
         return rows

@@ -138,3 +138,14 @@ def test_stores_by_statement(spark, tmp_path):
     moved = s.store.move(f"file://{tmp_path}/b")
     assert Session(spark, Store(spark, moved.path)).execute("SELECT v FROM x").first()["v"] == 1
     assert s.execute("SELECT COUNT(*) AS n FROM services").first()["n"] > 5
+
+
+def test_statement_service_reads_every_text(spark):
+    from lodestone import Session
+    from lodestone.sources.services import StatementService
+
+    rows = spark.range(1500).selectExpr("concat('SELECT a FROM t WHERE b = ', id, IF(id = 7, '; SELECT c FROM u', '')) AS value")
+    got = [x["value"] for x in StatementService().read(Session(spark), rows, {}).collect()]
+    assert len(got) == 1501 and len(set(got)) == 1501
+    assert StatementService().read(Session(spark), rows, {"most": 3}).count() in (3, 4)
+    assert StatementService().read(Session(spark), rows.limit(0), {}).count() == 0
