@@ -86,3 +86,16 @@ def _stars(e: DataFrame) -> bool:
     ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
     ends = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
     return not ends.agg(F.max((F.col("down") + F.col("up") > 1) & (F.col("down") > 0))).first()[0]
+
+
+def free(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns that ``df`` has none of, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for w in wanted:
+        k = 0
+        while (name := f"__{w}{k or ''}").lower() in taken:
+            k += 1
+        taken.add(name.lower())
+        out.append(name)
+    return out
