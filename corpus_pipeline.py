@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, langid, mixing, neardup, secrets
-from lodestone.llm.common import shared_dir, table
+from lodestone.llm.common import free, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with a language, under a model of their own labelled texts that are not held out."""
-    found = langid.predict(docs, "text", langid.train_on_documents(docs), "__lang", "__score")
-    return found.where(F.col("__lang") != langid.UNKNOWN).select(*[found[f"`{c}`"] for c in docs.columns])
+    lang, score = free(docs, "lang", "score")
+    found = langid.predict(docs, "text", langid.train_on_documents(docs), lang, score, None)
+    return found.where(F.col(lang) != langid.UNKNOWN).select(*[found[f"`{c}`"] for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

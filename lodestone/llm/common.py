@@ -3,24 +3,34 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once for each application."""
+    from lodestone.session import ship as send  # not imported in the executors
+
+    send(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Set here only where the cluster names none (tests)."""
+    """The folder that all executors share. In local mode one is made here if none is named; a cluster has to name one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     own = spark.conf.get("lodestone.checkpoint.dir", None)
     if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master or ""):
+            raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
         own = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("lodestone.checkpoint.dir", own)
     return own
@@ -53,12 +63,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def text_key(c: Column) -> Column:
-    """128 bits of a text as a struct of two longs; null counts as empty."""
-    t = F.coalesce(c.cast("string"), F.lit(""))
-    return F.struct(F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(0x51ED), t).alias("h2"))
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge table by alternating large-star and small-star steps.
 

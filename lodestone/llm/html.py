@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, free, table
+from lodestone.llm.common import cut, free, ship, table
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -306,6 +306,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
     gives their text, unless it is less than a third of what is left; else that of ``main``; else all that no removed branch holds. A page
     of which the tree would leave nothing is a copy of others, and the tree removes nothing of it. Texts do not depend on ties or on the order of rows.
     """
+    ship(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
     page = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = cut(style_tree(pages.select(host.alias("host"), page.alias("html"))), "tree")

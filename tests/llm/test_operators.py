@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,7 +323,7 @@ def test_code_lengths_are_exact():
         data = b"\0\0\0" + text
         for i in range(3, len(data)):
             counts[lang][data[i - 3 : i + 1]] += 1
-    model = langid._fit(counts, 3, 10_000)
+    model = langid._fit({x: (np.array([int.from_bytes(g, "big") for g in c]), np.array(list(c.values()))) for x, c in counts.items()}, 3)
     trees = {}
     for lang, c in counts.items():
         tree = defaultdict(Counter)
