@@ -11,11 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that go to or come from a Python worker at a time.
+ARROW_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxBytesPerOutputBatch": "4m"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each application."""
+    """Send this package's code to the executors, once for each application, and bound Arrow batches by bytes unless the session does."""
     from lodestone.session import ship as send  # not imported in the executors
 
     send(spark)
+    for k, v in ARROW_BYTES.items():
+        if k not in spark.conf.getAll:
+            spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Personal data: patterns, and a linear-chain conditional random field that adds what they miss.
 
 The field labels tokens with a kind or none. Its features are the shapes of a token and of its neighbours, and a few cue words; it
-is trained here from the small table below by gradient ascent on the conditional likelihood. Sequences
-are the stretches of text within ``REACH`` characters of a digit, an ``@`` or a spelt-out one: elsewhere no token can get a label.
-Viterbi runs over numpy batches of sequences of like length.
+is trained here from the small table below by gradient ascent on the conditional likelihood. Viterbi runs over numpy batches of sequences
+of like length.
+
+Its labels are those of the whole text, though most tokens are never decoded: ``margin`` proves from the weights, after training, that a
+token far enough inside a run of plain words has no label on the best path, whatever stands around the run. The path
+falls apart there, so only the stretches between are decoded, from no label to no label.
 """
 
 from __future__ import annotations
@@ -18,10 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import free, ship, table
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 200
 
 #: The labelled table: ``[kind:text]`` marks a span, the rest is unlabelled.
 LABELLED = """
@@ -77,13 +79,12 @@ version 1.2.3.4.5 and 300.400.500.600
 
 _CUES = set("call phone tel telefon fax mobile ring number reach email mail write contact send card visa credit amex pay server ip from at dot to id order isbn version section invoice no".split())
 _TOKEN = re.compile(r"\S+")
-_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]| dot ", re.I)
 _EDGE = "\"'<>{},;:!?$#%&*=|"
 
 
 def _shape(w: str) -> str:
     out = []
-    for m in re.finditer(r"[0-9]+|[A-Za-z]+|[^\W\d_]+|.", w[:80], re.S):
+    for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", w, re.S):
         g = m.group()
         if g[0] in "0123456789":
             out.append("9" * min(len(g), 5) if len(g) < 13 else "N")
@@ -94,13 +95,20 @@ def _shape(w: str) -> str:
     return "".join(out)
 
 
+def _cue(w: str) -> str:
+    return c if (c := w.lower().strip("()[].")) in _CUES else ""
+
+
+def _own(w: str, shape: str, cue: str) -> list[str]:
+    digits = sum(c.isdigit() for c in w)
+    return ["b", "s=" + shape, "d=" + str(min(digits, 9)), "c=" + cue, "@" if "@" in w else "-", "p=" + w[0] if not w[0].isalnum() else "p"]
+
+
 def _features(words: list[str]) -> list[list[str]]:
-    shapes = [_shape(w) for w in words]
-    cues = [c if (c := w.lower().strip("()[].")) in _CUES else "" for w in words]
+    shapes, cues = [_shape(w) for w in words], [_cue(w) for w in words]
     out = []
     for i, (w, s) in enumerate(zip(words, shapes, strict=True)):
-        digits = sum(c.isdigit() for c in w)
-        f = ["b", "s=" + s, "d=" + str(min(digits, 9)), "c=" + cues[i], "@" if "@" in w else "-", "p=" + w[0] if not w[0].isalnum() else "p"]
+        f = _own(w, s, cues[i])
         for k in (-2, -1, 1, 2):
             if 0 <= i + k < len(words):
                 f += [f"s{k}={shapes[i + k]}", f"c{k}={cues[i + k]}"]
@@ -114,9 +122,9 @@ def _features(words: list[str]) -> list[list[str]]:
     return out
 
 
-def _tokens(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+def _tokens(text: str) -> list[tuple[int, int]]:
     out = []
-    for m in _TOKEN.finditer(text, start, len(text) if end is None else end):
+    for m in _TOKEN.finditer(text):
         w = m.group()
         a = len(w) - len(w.lstrip(_EDGE))
         b = len(w.rstrip(_EDGE + "."))
@@ -130,12 +138,42 @@ class Crf:
 
     def __init__(self, index: dict[str, int], w: np.ndarray, t: np.ndarray):
         self.index, self.w, self.t = index, w, t
+        self.kept: dict = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"kept": {}}
+
+
+    def _weights(self, features: list[str]) -> np.ndarray:
+        return self.w[[self.index[x] for x in features if x in self.index]].sum(axis=0)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), self.w.shape[1]))
-        for i, f in enumerate(_features(words)):
-            ids = [self.index[x] for x in f if x in self.index]
-            out[i] = self.w[ids].sum(axis=0)
+        """[token, label]; the parts of a word, of a pair of shapes and of a pair of words two apart are kept, a bounded number of them."""
+        n, kept = len(words), self.kept
+        if not n:
+            return np.zeros((0, self.w.shape[1]))
+        if len(kept) > 200_000:
+            kept.clear()
+        out = np.zeros((n + 4, self.w.shape[1]))  # two places before the words and behind them
+        known = []
+        for i, w in enumerate(words):
+            got = kept.get(w)
+            if got is None:
+                shape, cue = _shape(w), _cue(w)
+                # What the word adds to itself and to its neighbours: to the word behind it it is at place -1.
+                got = kept[w] = shape, np.array([self._weights([f"s{k}={shape}", f"c{k}={cue}"]) if k else self._weights(_own(w, shape, cue)) for k in (2, 1, 0, -1, -2)])
+            out[i : i + 5] += got[1]
+            known.append(got[0])
+        out = out[2 : n + 2]
+        for a, b in zip(range(n - 1), range(1, n)):
+            pair = known[a], known[b]
+            got = kept.get(pair)
+            if got is None:
+                got = kept[pair] = np.array([self._weights(["ss=" + "_".join(pair)]), self._weights(["ps=" + "_".join(pair)])])
+            out[a : b + 1] += got
+        for k in (-2, -1, 1, 2):  # the ends
+            at = [i for i in range(n) if not 0 <= i + k < n]
+            out[at] += self._weights([f"s{k}=#"])
         return out
 
 
@@ -143,7 +181,7 @@ def _rows() -> list[tuple[list[str], list[int]]]:
     out = []
     for line in LABELLED:
         text, spans, rest = "", [], line
-        while m := re.search(r"\[(" + "|".join(KINDS) + r"):(.*?)\](?= |$|,)", rest):
+        while m := re.search(r"\[(" + "|".join(KINDS) + r"):((?:[^\[\]]|\[[^\]]*\])*)\]", rest):
             text += rest[: m.start()]
             spans.append((len(text), len(text) + len(m[2]), KINDS.index(m[1]) + 1))
             text, rest = text + m[2], rest[m.end() :]
@@ -158,6 +196,29 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
+def gradient(w: np.ndarray, t: np.ndarray, ids: list[list[np.ndarray]], labels: list[list[int]], l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean conditional log-likelihood of the sequences, less l2 / 2 times the squares of all weights. ``ids``: the features of each token."""
+    gw, gt = -l2 * w, -l2 * t
+    for tok, y in zip(ids, labels, strict=True):
+        e = np.array([w[i].sum(axis=0) for i in tok])
+        a, b = np.empty_like(e), np.zeros_like(e)
+        a[0] = e[0]
+        for i in range(1, len(e)):
+            a[i] = e[i] + _logsum(a[i - 1][:, None] + t, 0)
+        for i in range(len(e) - 2, -1, -1):
+            b[i] = _logsum(t + (e[i + 1] + b[i + 1])[None, :], 1)
+        z = _logsum(a[-1], 0)
+        p = np.exp(a + b - z)
+        for i, f in enumerate(tok):
+            d = -p[i]
+            d[y[i]] += 1
+            np.add.at(gw, f, d / len(ids))
+            if i:
+                gt -= np.exp(a[i - 1][:, None] + t + (e[i] + b[i])[None, :] - z) / len(ids)
+                gt[y[i - 1], y[i]] += 1 / len(ids)
+    return gw, gt
+
+
 @lru_cache(1)
 def trained(epochs: int = 120, rate: float = 0.1, l2: float = 0.003) -> Crf:
     """Fitted to the labelled table by Adam; the same on every run."""
@@ -169,43 +230,96 @@ def trained(epochs: int = 120, rate: float = 0.1, l2: float = 0.003) -> Crf:
     params = [np.zeros((len(index), n)), np.zeros((n, n))]
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, epochs + 1):
-        w, t = params
-        gw, gt = -l2 * w, -l2 * t
-        for tok, (_, y) in zip(ids, rows, strict=True):
-            e = np.array([w[i].sum(axis=0) for i in tok])
-            a, b = np.empty_like(e), np.zeros_like(e)
-            a[0] = e[0]
-            for i in range(1, len(e)):
-                a[i] = e[i] + _logsum(a[i - 1][:, None] + t, 0)
-            for i in range(len(e) - 2, -1, -1):
-                b[i] = _logsum(t + (e[i + 1] + b[i + 1])[None, :], 1)
-            z = _logsum(a[-1], 0)
-            p = np.exp(a + b - z)
-            for i, f in enumerate(tok):
-                d = -p[i]
-                d[y[i]] += 1
-                np.add.at(gw, f, d / len(rows))
-                if i:
-                    gt -= np.exp(a[i - 1][:, None] + t + (e[i] + b[i])[None, :] - z) / len(rows)
-                    gt[y[i - 1], y[i]] += 1 / len(rows)
-        for p, g, (m, v) in zip(params, (gw, gt), moment, strict=True):
+        grads = gradient(*params, ids, [y for _, y in rows], l2)
+        for p, g, (m, v) in zip(params, grads, moment, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Crf(index, *params)
 
 
-def viterbi(crf: Crf, emissions: list[np.ndarray], batch: int = 256) -> list[np.ndarray]:
-    """The likeliest labels of each sequence; sequences of like length share a padded batch."""
+class Plain(dict):
+    """word (with the signs around it) -> 0 if it is a plain word of the field, 1 if not, 2 if nothing of it is a token; bounded."""
+
+    def __init__(self, cues: frozenset[str]):
+        self.cues = cues
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        w = word.lstrip(_EDGE).rstrip(_EDGE + ".")
+        kind = 2 if not w else 0 if w.isalpha() and ((c := _cue(w)) in self.cues or not c) else 1  # its shape is "x"
+        if len(word) < 64:  # longer ones are not worth their place
+            self[word] = kind
+        return kind
+
+
+def margin(crf: Crf, most: int = 12) -> tuple[int, frozenset[str]] | None:
+    """(reach, cues): a token with ``reach`` plain words on either side has no label on the best path; plain are words of letters that
+    are no cue, or one of ``cues``. None if that can't be proven.
+
+    What a kind can gain over none at a plain word is bounded by its own features and, for each place around it, the most that any plain
+    word or the end of the text can add. If even then every path with a label in the middle of a run scores less than the path without
+    labels, for all labels at both ends, the middle has none.
+    """
+    get = lambda f: crf.w[crf.index[f]] if f in crf.index else np.zeros(crf.t.shape[0])
+    gain = lambda v: v - v[..., :1]
+
+    def bound(cues: frozenset[str]) -> np.ndarray:
+        names = ["", *sorted(cues)]
+        own = np.max([gain(sum(map(get, _own("x", "x", c)))) for c in names], axis=0)
+        for k in (-2, -1, 1, 2):
+            beside = [gain(get(f"s{k}=x") + get(f"c{k}={c}") + (get("ss=x_x") if k == 1 else get("ps=x_x") if k == -1 else 0)) for c in names]
+            own = own + np.max([*beside, gain(get(f"s{k}=#"))], axis=0)
+        return own
+
+    def reach(cues: frozenset[str]) -> int | None:
+        u, t = bound(cues), crf.t
+        left = t.copy()  # best scores from the label before the run to the first word's
+        for r in range(most + 1):
+            mid = left + u[None]  # r words, then the middle
+            right = t.copy()
+            for _ in range(r):
+                right = (t[:, :, None] + (u[:, None] + right)[None]).max(axis=1)
+            none = t[:, :1] + 2 * r * t[0, 0] + t[0][None]
+            other = (mid[:, 1:, None] + right[None, 1:]).max(axis=1)
+            if (other < none - 1e-6).all():
+                return r + 2  # the two words at each end of the run have other neighbours
+            left = (left[:, :, None] + u[None, :, None] + t[None]).max(axis=1)
+        return None
+
+    best = reach(frozenset())
+    if best is None:
+        return None
+    cues: frozenset[str] = frozenset()
+    for c in sorted(_CUES):
+        r = reach(cues | {c})
+        if r is not None and r <= best + 1:
+            cues |= {c}
+    return reach(cues), cues
+
+
+def viterbi(crf: Crf, emissions: list[np.ndarray], batch: int = 256, ends: list[tuple[bool, bool]] | None = None) -> list[np.ndarray]:
+    """The likeliest labels of each sequence; sequences of like length share a padded batch.
+
+    ``ends``: whether a token without a label stands before the sequence, and behind it.
+    """
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(emissions)
     order = sorted((i for i in range(len(emissions)) if len(emissions[i])), key=lambda i: len(emissions[i]))
-    for at in range(0, len(order), batch):
-        some = order[at : at + batch]
+    at = 0
+    while at < len(order):
+        size = max(1, min(batch, 200_000 // len(emissions[order[min(at + batch, len(order)) - 1]])))
+        some = order[at : at + size]
+        at += size
         lens = np.array([len(emissions[i]) for i in some])
         top = lens.max()
         e = np.zeros((len(some), top, crf.t.shape[0]))
         for r, i in enumerate(some):
             e[r, : lens[r]] = emissions[i]
+            if ends is not None and ends[i][0]:
+                e[r, 0] += crf.t[0]
+            if ends is not None and ends[i][1]:
+                e[r, lens[r] - 1] += crf.t[:, 0]
         score, back = e[:, 0].copy(), np.zeros((top, len(some), crf.t.shape[0]), dtype=np.int8)
         for i in range(1, top):
             step = score[:, :, None] + crf.t[None]
@@ -288,26 +402,45 @@ def _holds(kind: int, s: str) -> bool:
     return 10 <= len(d) <= 15 and len(d) * 2 >= len(s.strip())
 
 
-def _windows(t: str) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(t):
-        a, b = max(0, m.start() - REACH), min(len(t), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def find_spans(texts: list[str], crf: Crf) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
-    """The pattern spans and the added spans of each text, as (kind, start, end)."""
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    w = text[start:end]
+    return start + len(w) - len(w.lstrip(_EDGE)), start + len(w.rstrip(_EDGE + "."))
+
+
+def _stretches(text: str, plain: Plain, reach: int) -> Iterator[tuple[list[tuple[int, int]], list[tuple[int, int]], bool, bool]]:
+    """(tokens, the tokens and two neighbours at each side, whether tokens come before, whether behind) of each stretch to decode."""
+    words = text.split()
+    kinds = np.fromiter(map(plain.__getitem__, words), np.int8, len(words))
+    real = np.flatnonzero(kinds != 2)
+    at = np.flatnonzero(kinds[real] == 1)
+    if not len(at):
+        return
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    if lens.sum() + len(words) - 1 == len(text):  # one blank between words
+        start = np.cumsum(lens + 1) - lens - 1
+    else:
+        start = np.fromiter((m.start() for m in _TOKEN.finditer(text)), np.int64, len(words))
+    for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1):
+        a, b = max(0, int(part[0]) - reach), min(len(real), int(part[-1]) + reach + 1)
+        lo, hi = max(0, a - 2), min(len(real), b + 2)
+        around = [_trimmed(text, s, s + n) for s, n in zip(start[real[lo:hi]].tolist(), lens[real[lo:hi]].tolist(), strict=True)]
+        yield around[a - lo : b - lo], around, a > 0, b < len(real)
+
+
+def find_spans(texts: list[str], crf: Crf, plain: Plain | None = None, reach: int = 0) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
+    """The pattern spans and the added spans of each text, as (kind, start, end). Without ``plain`` all tokens are decoded."""
     base = [patterns(t) for t in texts]
     seqs: list[tuple[int, list[tuple[int, int]]]] = []
+    emissions, ends = [], []
     for i, t in enumerate(texts):
-        for a, b in _windows(t):
-            if toks := _tokens(t, a, b):
-                seqs.append((i, toks))
-    labels = viterbi(crf, [crf.emissions([texts[i][a:b] for a, b in toks]) for i, toks in seqs])
+        found = _stretches(t, plain, reach) if plain is not None else [(k := _tokens(t), k, False, False)]
+        for toks, around, before, behind in found:
+            e = crf.emissions([t[x:y] for x, y in around])  # neighbours are features
+            first = 0 if not before else min(2, around.index(toks[0]))
+            emissions.append(e[first : first + len(toks)])
+            seqs.append((i, toks))
+            ends.append((before, behind))
+    labels = viterbi(crf, emissions, ends=ends)
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for (i, toks), y in zip(seqs, labels, strict=True):
         k = 0
@@ -326,22 +459,32 @@ def find_spans(texts: list[str], crf: Crf) -> tuple[list[list[tuple[int, int, in
 def find_pii(docs: DataFrame, text: str = "text", base: str = "base_spans", added: str = "added_spans") -> DataFrame:
     """``docs`` with two arrays of (k, s, e): spans of the patterns, and spans that the field adds beside them.
 
-    k is the place in ``KINDS``; s and e are code points. A null text counts as empty; repeated rows give a row each.
+    k is the place in ``KINDS``; s and e are code points. A null text counts as empty; repeated rows give a row each; however long texts are
+    they are read whole; of labels that score alike the first in ``KINDS`` order counts, none before all. An empty table gives an empty
+    table. Columns of ``docs`` named as the two results are replaced, all others pass through.
     """
-    held = docs.sparkSession.sparkContext.broadcast(trained())
+    ship(docs.sparkSession)
+    crf = trained()
+    held = docs.sparkSession.sparkContext.broadcast((crf, margin(crf)))
     cols = [c for c in docs.columns if c not in (base, added)]
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        crf, known = held.value
+        plain, reach = (Plain(known[1]), known[0]) if known else (None, 0)
+        as_rows = lambda x: [[{"k": k, "s": s, "e": e} for k, s, e in spans] for spans in x]
         for part in parts:
-            texts = ["" if t is None else t for t in part]
-            b, a = find_spans(texts, held.value)
-            as_rows = lambda x: [[{"k": k, "s": s, "e": e} for k, s, e in spans] for spans in x]
-            yield pd.DataFrame({"b": as_rows(b), "a": as_rows(a)})
+            b, a = [], []
+            for at in range(0, len(part), 512):
+                some = find_spans(["" if t is None else t for t in part.iloc[at : at + 512]], crf, plain, reach)
+                b += as_rows(some[0])
+                a += as_rows(some[1])
+            yield pd.DataFrame({"b": b, "a": a})
 
     kind = "array<struct<k: int, s: int, e: int>>"
     udf = F.pandas_udf(run, f"b {kind}, a {kind}")
-    rows = docs.withColumn("__p", udf(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    return rows.select(*[rows[f"`{c}`"] for c in cols], F.col("__p.b").alias(base), F.col("__p.a").alias(added))
+    (name,) = free(docs, "p")
+    rows = docs.withColumn(name, udf(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return rows.select(*[rows[f"`{c}`"] for c in cols], F.col(f"{name}.b").alias(base), F.col(f"{name}.a").alias(added))
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:
