@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, table
+from lodestone.llm.common import cut, free, table
 
 #: Places of the words that count. Each 16 words of which 3 differ have a hit, and so have 15 of which 2 differ.
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 7, 9, 10, 11))
@@ -22,7 +22,7 @@ SHORT_MASKS = ((0, 1, 3, 5, 6), (0, 1, 2, 8, 9))
 SPAN = 11
 #: A hit is verified by a window of this many words with at least this many equal ones.
 WINDOW, NEED = 16, 13
-#: Items of fewer words than SPAN are looked for whole; of fewer than this they are no evidence.
+#: Items of fewer words than SPAN are looked for whole; of fewer than this they are evidence only where they are all of a document.
 LEAST_WORDS = 5
 #: Benchmark seeds (about 100 bytes each in a hash table) that may be broadcast; more are joined by a shuffle.
 BROADCAST_SEEDS = 300_000
@@ -38,9 +38,9 @@ def _seed_sql(words: str, at: str, mask: tuple[int, ...], m: int) -> str:
     return f"xxhash64({m}, {', '.join(f'{words}[{at} + {k}]' for k in mask)})"
 
 
-def _windows(span: int, seed: str) -> str:
-    """SQL for the array of (i, seed) of all windows of the document's words."""
-    return f"IF(size(dw) < {span}, array(), transform(sequence(0, size(dw) - {span}), i -> named_struct('i', i, 'seed', {seed})))"
+def _windows(span: int, seed: str, whole: bool) -> str:
+    """SQL for the array of (i, seed) of all windows of the document's words; ``whole``: of the one that is all of it."""
+    return f"IF(size(dw) {'<>' if whole else '<'} {span}, array(), transform(sequence(0, size(dw) - {span}), i -> named_struct('i', i, 'seed', {seed})))"
 
 
 def _seed(words: str, at: str, mask: tuple[int, ...], m: int) -> Column:
@@ -53,7 +53,7 @@ def benchmark_seeds(bench: DataFrame, item_id: str, text: str) -> tuple[DataFram
     Equal items are one item under the least id; ``mask`` is the mask's number, or minus the length of a short item.
     """
     items = bench.select(F.col(item_id).alias("item"), _words(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("words"))
-    items = cut(items.where(F.size("words") >= LEAST_WORDS).groupBy("words").agg(F.min("item").alias("item")), "items")
+    items = cut(items.where(F.size("words") > 0).groupBy("words").agg(F.min("item").alias("item")), "items")
     lengths = {r[0] for r in items.where(F.size("words") < WINDOW - 1).select(F.size("words")).distinct().collect()}  # at most WINDOW - 1 - LEAST_WORDS values
     kinds, parts = list(enumerate(MASKS)), []
     if any(n >= SPAN for n in lengths):
@@ -80,14 +80,15 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
 
     ``key`` tells texts apart, so rows with null or repeated ids are decided by their own text.
     ``matched`` is the largest number of equal words on one diagonal, ``words`` the item's length. Null texts are
-    empty; empty tables, and items of fewer than five words, give no rows. Equal items count as the one with the least id.
+    empty; empty tables, and items without words, give no rows. Equal items count as the one with the least id. Repeated rows give a row
+    each, however long texts are they are read whole, and other columns are not read.
     """
     seeds, masks = benchmark_seeds(bench, item_id, item_text)
     n_seeds = seeds.count()
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(content).alias("key"), content.alias("t"))
     # Each row gives (place, seed) pairs made inside its array of words, so that no copy of the words goes with a pair.
-    kinds = [_windows(mask[-1] + 1, _seed_sql("dw", "i", mask, m)) for m, mask in masks]
+    kinds = [_windows(mask[-1] + 1, _seed_sql("dw", "i", mask, m), -LEAST_WORDS < m < 0) for m, mask in masks]
     probe = rows.select("key", _words(F.col("t")).alias("dw")).select("key", F.explode(F.expr(f"concat({', '.join(kinds)})")).alias("w")).select("key", "w.i", "w.seed")
     seeds = F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds
     hits = cut(probe.join(seeds, "seed").select("key", (F.col("i") - F.col("j")).alias("diag"), "item", "words").distinct(), "hits")
@@ -111,13 +112,16 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose texts overlap no item; a null or empty text stays."""
-    cols = docs.columns
-    bad = cut(overlaps(docs, bench, doc_id, text, item_id, item_text).select(F.col("key").alias("__bad")).distinct(), "leaks")
+    """The rows of ``docs`` whose texts overlap no item, with all their columns; a null or empty text stays.
+
+    Repeated rows go or stay together, however long texts are they are read whole, and empty tables give what is left: all of ``docs``.
+    """
+    key, key2 = free(docs, "key", "bad")
+    bad = cut(overlaps(docs, bench, doc_id, text, item_id, item_text).select(F.col("key").alias(key2)).distinct(), "leaks")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_SEEDS else bad
-    row = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    row = row.join(bad, F.col("__key") == F.col("__bad"), "left_anti")
-    return row.select(*[row[f"`{c}`"] for c in cols])
+    row = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    row = row.join(bad, F.col(key) == F.col(key2), "left_anti")
+    return row.select(*[row[f"`{c}`"] for c in docs.columns])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ each; the residuals are rounded in blocks in turn, up a tree with one root for e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, table
+from lodestone.llm.common import cut, free, table
 
 #: Fractions rounded in one block; the height of the tree is the logarithm of the documents to this base.
 BLOCK = 128
@@ -70,7 +70,8 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
     A null text has size 0; a null source is a source of its own, in the last place; a null id is an id. Repeated rows
     (equal id, size and source) are decided together: ``n_copies`` is for all ``n_rows`` of them. Documents of size
-    0 take part in no exchange and are kept as they are (their copies hold no words). Reruns agree: chance comes from hashes.
+    0 take part in no exchange and are kept as they are (their copies hold no words). Reruns agree: chance comes from hashes, and ties of
+    hashes go by size. However long texts are their words are all counted; an empty table gives an empty table; other columns are not read.
     """
     size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
@@ -106,29 +107,32 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     return out.join(stats.select(F.col("source").alias("s2"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
 
 
-def _per_row(df: DataFrame) -> DataFrame:
-    """``__copies`` of the i-th of n_rows equal rows: an even share of n_copies."""
-    return df.withColumn("__copies", F.expr("CAST(__n_copies DIV __n_rows + IF(__i <= __n_copies % __n_rows, 1, 0) AS LONG)"))
+def _share(n_copies: str, n_rows: str, i: str) -> Column:
+    """Copies of the i-th of n_rows equal rows: an even share of n_copies."""
+    return F.expr(f"CAST({n_copies} DIV {n_rows} + IF({i} <= {n_copies} % {n_rows}, 1, 0) AS LONG)")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (0, 1 or more times), with their own columns only."""
-    cols = docs.columns
-    got = cut(copies(docs, doc_id, text, source, **how).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("n_rows").alias("__n_rows"), F.col("n_copies").alias("__n_copies")), "copies")
-    n, most = got.agg(F.count("*"), F.max("__n_rows")).first()
+    """The rows of ``docs``, each as often as the mix takes it (0, 1 or more times), with their own columns only.
+
+    Nulls, repeated rows and ties are treated as in ``copies``; of repeated rows that do not all have the same number of copies, which
+    one has more goes by the hash of its text. However long texts are they are taken whole; an empty table gives an empty table.
+    """
+    id2, source2, size2, n_rows, n_copies, n, i, each = free(docs, "id", "source", "size", "n_rows", "n_copies", "n", "i", "copies")
+    got = cut(copies(docs, doc_id, text, source, **how).select(F.col("doc_id").alias(id2), F.col("source").alias(source2), F.col("size").alias(size2), F.col("n_rows").alias(n_rows), F.col("n_copies").alias(n_copies)), "copies")
+    count, most = got.agg(F.count("*"), F.max(n_rows)).first()
     size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    row = docs.withColumn("__n", size)
+    row = docs.withColumn(n, size)
     if (most or 0) > 1:
-        row = row.withColumn("__i", F.row_number().over(Window.partitionBy(doc_id, source, "__n").orderBy(F.xxhash64(text))))
+        row = row.withColumn(i, F.row_number().over(Window.partitionBy(doc_id, source, n).orderBy(F.xxhash64(text))))
     else:
-        row = row.withColumn("__i", F.lit(1))
-    got = F.broadcast(got) if n <= BROADCAST_ROWS else got
-    row = row.join(got, F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
-    row = _per_row(row).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, CAST(__copies AS INT))")))
-    return row.select(*[row[f"`{c}`"] for c in cols])
+        row = row.withColumn(i, F.lit(1))
+    got = F.broadcast(got) if count <= BROADCAST_ROWS else got
+    row = row.join(got, F.col(doc_id).eqNullSafe(F.col(id2)) & F.col(source).eqNullSafe(F.col(source2)) & (F.col(n) == F.col(size2)))
+    row = row.withColumn(each, _share(n_copies, n_rows, i)).where(F.col(each) > 0).withColumn(each, F.explode(F.expr(f"sequence(1, CAST({each} AS INT))")))
+    return row.select(*[row[f"`{c}`"] for c in docs.columns])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = copies(table(spark, sf_dir, "documents"))
-    got = _per_row(got.withColumnsRenamed({"n_rows": "__n_rows", "n_copies": "__n_copies"}).withColumn("__i", F.explode(F.expr("sequence(1, CAST(__n_rows AS INT))"))))
-    return got.select("doc_id", "size", "source_size", "target", (F.col("__copies") * F.col("size")).alias("taken"), "source", F.col("__copies").alias("copies"))
+    got = copies(table(spark, sf_dir, "documents")).withColumn("i", F.explode(F.expr("sequence(1, CAST(n_rows AS INT))"))).withColumn("copies", _share("n_copies", "n_rows", "i"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

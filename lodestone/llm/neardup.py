@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, cut, table
+from lodestone.llm.common import components, cut, free, ship, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -305,11 +305,13 @@ def _text(c: str) -> Column:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """(doc_id, key, class_id), a row for each row of ``docs``; ``class_id`` is the least id of its class.
+    """(doc_id, key, class_id, comp), a row for each row of ``docs``; ``class_id`` is the least id of its class, ``comp`` the class's key.
 
     ``key`` is the 64-bit hash of the text. Equal texts are one text. A null text counts as empty; all texts without words are
-    one class. A class whose ids are all null has a null id. An empty table gives an empty table; other columns are not read.
+    one class. A class whose ids are all null has a null id. Of texts with equal company the one with the greater key leads; which one leads
+    changes no class. However long texts are they are read whole; an empty table gives an empty table; other columns are not read.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(_text(text)).alias("key"), _text(text).alias("t"))
     by_cell, n_rows = cell_idf(rows, "t")
@@ -360,11 +362,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
             comp = _joined(comp, found)
         rest = place.where(F.col("r") > leaders).select("band", "key", "company", "weight", "shared", "bands")
         left, leaders = _open(rest, comp), leaders * 4
+    # A text that is its own class has its key for a component.
     named = one.select("key", "rep").join(comp.select(F.col("id").alias("key"), "comp"), "key", "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
     # Only texts that belong with others have to look up the class; the rest are their own.
     joint = named.join(comp.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("rep").alias("class_id"))
-    named = cut(named.join(joint, "comp", "left").select(F.col("key").alias("k"), F.coalesce("class_id", "rep").alias("class_id")), "classes")
-    return sk.select("doc_id", "key").join(named, F.col("key") == F.col("k")).select("doc_id", "key", "class_id")
+    named = cut(named.join(joint, "comp", "left").select(F.col("key").alias("k"), F.coalesce("class_id", "rep").alias("class_id"), "comp"), "classes")
+    return sk.select("doc_id", "key").join(named, F.col("key") == F.col("k")).select("doc_id", "key", "class_id", "comp")
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -426,17 +429,18 @@ def _shares(keys: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of ``docs`` for each class, with its own columns: a row with the class's id, or any if ids are null."""
-    cols = docs.columns
+    """One row of ``docs`` for each class, with its own columns: one with the class's id and, of those, with the least key; any if ids are null.
+
+    Classes are told apart by their texts, so rows of different classes stay also where they have one id. Of equal rows one stays.
+    """
+    name, key2, key = free(docs, "class", "k", "key")
     got = cut(classes(docs, doc_id, text, **how), "kept")
-    pick = got.where("doc_id <=> class_id").groupBy("class_id").agg(F.min("key").alias("key"))
-    spare = got.where("class_id IS NULL").select("class_id", "key").distinct()  # ids are null: each text of them stays
-    pick = pick.where("class_id IS NOT NULL").unionByName(spare).select(F.col("class_id").alias("__class"), F.col("key").alias("__k"))
-    pick = cut(pick, "picks")
+    pick = got.where("doc_id <=> class_id").groupBy("comp").agg(F.min(F.struct("key", "doc_id")).alias("p"))
+    pick = cut(pick.select(F.col("p.doc_id").alias(name), F.col("p.key").alias(key2)), "picks")
     pick = F.broadcast(pick) if pick.count() <= BROADCAST_KEYS else pick
-    row = docs.withColumn("__key", F.xxhash64(_text(text)))
-    row = row.join(pick, (F.col("__key") == F.col("__k")) & F.col(doc_id).eqNullSafe(F.col("__class")), "left_semi")
-    return row.dropDuplicates([doc_id, "__key"]).select(*[f"`{c}`" for c in cols])
+    row = docs.withColumn(key, F.xxhash64(_text(text)))
+    row = row.join(pick, (F.col(key) == F.col(key2)) & F.col(doc_id).eqNullSafe(F.col(name)), "left_semi")
+    return row.dropDuplicates([doc_id, key]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

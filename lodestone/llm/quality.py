@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import free, ship, table
 
 CELLS = 1 << 18
 #: The model is fitted to at most about this many rated texts, those with the lowest hashes of their ids.
@@ -29,14 +29,16 @@ _WORD = re.compile(r"\w+|[^\w\s]+")
 
 
 class _Cells(dict):
-    """feature -> cell; bounded."""
+    """feature -> cell; bounded (some 20 MB), long features are not kept."""
 
     def __missing__(self, f: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
-        c = self[f] = xxhash.xxh64_intdigest(f) & (CELLS - 1)
+        c = xxhash.xxh64_intdigest(f) & (CELLS - 1)
+        if len(f) < 64:
+            self[f] = c
         return c
 
 
@@ -137,7 +139,11 @@ def fit(rows: list[np.ndarray], vals: list[np.ndarray], grade: np.ndarray, n_gra
 
 
 def train(rated: DataFrame, text: str, grade: str, by: str, n_grades: int, max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """A model from (text, grade) rows; rows with a null in either teach nothing. Without any row, all tails are even."""
+    """A model from (text, grade) rows; rows with a null in either teach nothing. Without any row, all tails are even.
+
+    Rows with equal ``by`` are in the sample together; however long texts are they are read whole; other columns are not read.
+    """
+    ship(rated.sparkSession)
     rows = rated.where(F.col(text).isNotNull() & F.col(grade).isNotNull()).select(F.col(text).alias("t"), F.col(grade).cast("int").alias("g"), F.xxhash64(F.lit(5), F.col(by).cast("string")).alias("h"))
     n = rows.count()
     u = F.pmod("h", F.lit(1 << 30)) / (1 << 30)
@@ -156,13 +162,16 @@ def train(rated: DataFrame, text: str, grade: str, by: str, n_grades: int, max_r
     return fit([np.asarray(c, dtype=np.int64) for c in got["c"]], [np.asarray(v, dtype=np.float32) for v in got["v"]], got["g"].to_numpy().clip(0, n_grades - 1), n_grades)
 
 
-def grade(docs: DataFrame, text: str, model: Model, at_least: int = 1, least_tail: float = 0.5) -> DataFrame:
-    """``docs`` with ``expected_grade``, ``tail`` (the probability of ``at_least`` or better) and ``keep``.
+def grade(docs: DataFrame, text: str, model: Model, at_least: int = 1, least_tail: float = 0.5, expected: str = "expected_grade", tail: str = "tail", keep: str = "keep") -> DataFrame:
+    """``docs`` with ``expected`` (the expected grade), ``tail`` (the probability of ``at_least`` or better) and ``keep``.
 
-    A null text counts as empty and is graded like any other. Repeated rows are graded alike; other columns pass through.
+    A null text counts as empty and is graded like any other; however long texts are they are read whole; a tail equal to ``least_tail``
+    is kept. Repeated rows are graded alike and an empty table gives an empty one. Columns of ``docs`` named as the three results are
+    replaced, all others pass through.
     """
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # CELLS weights
-    cols = [c for c in docs.columns if c not in ("expected_grade", "tail", "keep")]
+    cols = [c for c in docs.columns if c not in (expected, tail, keep)]
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -170,14 +179,16 @@ def grade(docs: DataFrame, text: str, model: Model, at_least: int = 1, least_tai
             yield pd.DataFrame({"e": p.sum(axis=1), "p": p[:, at_least - 1]})
 
     udf = F.pandas_udf(run, "e double, p double")
-    rows = docs.withColumn("__q", udf(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    return rows.select(*[rows[f"`{c}`"] for c in cols], F.col("__q.e").alias("expected_grade"), F.col("__q.p").alias("tail"), (F.col("__q.p") >= least_tail).alias("keep"))
+    (name,) = free(docs, "q")
+    rows = docs.withColumn(name, udf(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return rows.select(*[rows[f"`{c}`"] for c in cols], F.col(f"{name}.e").alias(expected), F.col(f"{name}.p").alias(tail), (F.col(f"{name}.p") >= least_tail).alias(keep))
 
 
 def ratings(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Graded texts: 0 for toxic ones, 1 for others of low quality, 2 for others of high quality."""
+    """Graded texts: 0 for toxic ones, 1 for others of low quality, 2 for others of high quality; of several labels of an id the lowest counts."""
     g = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
-    return docs.select("doc_id", "text").join(labels.select("doc_id", g.alias("grade")), "doc_id")
+    one = labels.groupBy("doc_id").agg(F.min(g).alias("grade"))  # a document teaches once, by its lowest rating
+    return docs.select("doc_id", "text").join(one, "doc_id")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

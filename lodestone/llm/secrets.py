@@ -17,7 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, discard, table
+from lodestone.llm.common import cut, free, table
 
 Branches = frozenset[frozenset[str]]
 
@@ -118,20 +118,20 @@ def trigram_query(pattern: str) -> Branches:
 def build_index(texts: DataFrame, text: str, terms: list[str], n_blocks: int) -> DataFrame:
     """(block, term, keys): which distinct texts contain which of the terms; keys are text hashes."""
     low = texts.select(F.xxhash64(text).alias("key"), F.lower(text).alias("low"))
-    found = low.select("key", F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in terms])).alias("terms"))
-    posts = found.where(F.size("terms") > 0).select("key", F.explode("terms").alias("term")).distinct()
+    # No filter on what was found: it would be pushed below and look for every term a second time.
+    posts = low.select("key", F.explode(F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in terms]))).alias("term")).distinct()
     block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("block")
     return posts.groupBy("term", block).agg(F.collect_list("key").alias("keys"))
 
 
 def candidates(index: DataFrame, queries: dict[int, Branches]) -> DataFrame:
-    """(key, rules): the texts that satisfy a rule's query, with a bit for each such rule."""
+    """(key, rules): the texts that satisfy a rule's query, with the numbers of all such rules."""
     spark = index.sparkSession
     rows = [(b, rule, len(branch), term) for b, (rule, branch) in enumerate((r, x) for r, q in sorted(queries.items()) for x in sorted(map(sorted, q))) for term in branch]
     named = spark.createDataFrame(rows, "branch int, rule int, need int, term string")  # as long as the rules
     lists = index.join(F.broadcast(named), "term").groupBy("block", "branch", "rule", "need").agg(F.collect_list("keys").alias("lists"))
     both = lists.where("size(lists) = need").select("rule", F.explode(F.expr("aggregate(slice(lists, 2, need), lists[0], (a, x) -> array_intersect(a, x))")).alias("key"))
-    return both.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))
+    return both.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
 def _spans(text: str, rule: Rule, order: int) -> Column:
@@ -150,44 +150,44 @@ def _spans(text: str, rule: Rule, order: int) -> Column:
     )
 
 
-def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secret_spans``: all matches as (s, e, k), by start, then by the rule's place k in ``rules``.
+def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "secret_spans") -> DataFrame:
+    """``docs`` with ``out``: all matches as (s, e, k), by start, then by the rule's place k in ``rules``, of which there may be any number.
 
-    A null text counts as empty. Rows are independent: repeated rows and null ids give a row each, other
-    columns pass through. An empty table gives an empty table.
+    A null text counts as empty; however long texts are they are searched whole. Rows are independent: repeated rows and null ids give a
+    row each, and an empty table gives an empty table. A column of ``docs`` named ``out`` is replaced, all others pass through.
     """
-    base = docs.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    t, found_rules, spans_, key, key2 = free(docs, "t", "rules", "found", "key", "key2")
+    base = docs.drop(out).withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != TRUE}
-    terms = sorted({t for q in queries.values() for b in q for t in b})
+    terms = sorted({x for q in queries.values() for b in q for x in b})
     if queries:
         n_blocks = docs.count() // BLOCK_TEXTS + 1
-        found = cut(candidates(build_index(base, "__t", terms, n_blocks), queries), "candidates")
+        found = cut(candidates(build_index(base, t, terms, n_blocks), queries), "candidates")
         small = found.count() <= BROADCAST_ROWS
-        found = found.select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
-        base = base.withColumn("__key", F.xxhash64("__t")).join(F.broadcast(found) if small else found, "__key", "left").drop("__key")
-    else:
-        base = base.withColumn("__rules", F.lit(0))
+        found = found.select(F.col("key").alias(key2), F.col("rules").alias(found_rules))
+        base = base.withColumn(key, F.xxhash64(t)).join(F.broadcast(found) if small else found, F.col(key) == F.col(key2), "left")
     none = F.expr("CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, k: INT>>)")
     per_rule = []
     for i, r in enumerate(rules):
-        spans = F.when(F.col("__t").rlike(r.pattern), _spans("__t", r, i)).otherwise(none)
-        per_rule.append(F.when(F.col("__rules").bitwiseAND(1 << i) != 0, spans).otherwise(none) if i in queries else spans)
-    base = base.withColumn("__found", F.concat(*per_rule))
-    order = "array_sort(__found, (x, y) -> CASE WHEN x.s < y.s THEN -1 WHEN x.s > y.s THEN 1 WHEN x.k < y.k THEN -1 WHEN x.k > y.k THEN 1 ELSE 0 END)"
-    return base.withColumn("secret_spans", F.when(F.size("__found") > 1, F.expr(order)).otherwise(F.col("__found"))).drop("__t", "__rules", "__found")
+        spans = F.when(F.col(t).rlike(r.pattern), _spans(t, r, i)).otherwise(none)
+        per_rule.append(F.when(F.array_contains(found_rules, i), spans).otherwise(none) if i in queries else spans)
+    base = base.withColumn(spans_, F.concat(*per_rule) if per_rule else none)
+    order = f"array_sort({spans_}, (x, y) -> CASE WHEN x.s < y.s THEN -1 WHEN x.s > y.s THEN 1 WHEN x.k < y.k THEN -1 WHEN x.k > y.k THEN 1 ELSE 0 END)"
+    return base.withColumn(out, F.when(F.size(spans_) > 1, F.expr(order)).otherwise(F.col(spans_))).drop(t, found_rules, spans_, key, key2)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans become one mark."""
-    found = find_secrets(docs, text, rules)
+    """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans become one mark. All other columns stay as they are."""
+    (spans,) = free(docs, "spans")
+    found = find_secrets(docs, text, rules, spans)
     new = F.expr(
-        f"""aggregate(secret_spans, named_struct('at', 0, 'out', ''),
+        f"""aggregate({spans}, named_struct('at', 0, 'out', ''),
           (acc, x) -> named_struct(
             'at', greatest(acc.at, x.e),
             'out', IF(x.s < acc.at, acc.out, concat(acc.out, substring(`{text}`, acc.at + 1, x.s - acc.at), '{mark}'))),
           acc -> concat(acc.out, substring(`{text}`, acc.at + 1, length(`{text}`))))"""
     )
-    return found.withColumn(text, F.when(F.size("secret_spans") > 0, new).otherwise(F.col(text))).drop("secret_spans")
+    return found.withColumn(text, F.when(F.size(spans) > 0, new).otherwise(F.col(text))).drop(spans)
 
 
 def _joined(spans: str, rules: tuple[Rule, ...]) -> Column:

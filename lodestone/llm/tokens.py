@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import ship, table
 
 #: Where the plain path is known to equal the library: printable ASCII, Latin-1 and Latin Extended-A.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
@@ -27,7 +27,7 @@ _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼
 class PieceCounter:
     """Counts tokens as the library does for a ``.json`` tokenizer with a pre-tokenizer."""
 
-    def __init__(self, path: str, max_entries: int = 1_000_000):
+    def __init__(self, path: str, max_entries: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -86,8 +86,10 @@ def count_tokens(docs: DataFrame, text: str, path: str | Callable[[], str], out:
     """Keys, UTF-8 bytes and token count of every whole text (null counts as empty: 0 tokens).
 
     ``path`` is the vocabulary file, or a function that finds it on the executor. Repeated rows stay,
-    rows are independent, and other columns of ``docs`` are not read.
+    rows are independent, and other columns of ``docs`` are not read. However long texts are they are counted whole; an empty table
+    gives an empty table.
     """
+    ship(docs.sparkSession)
     rows = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keys)])
     rows = rows.withColumn("n_bytes", F.octet_length("__text").cast("long"))

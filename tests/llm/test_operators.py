@@ -568,3 +568,40 @@ def test_field_gradient(monkeypatch):
             p[at] = old
             assert abs((up - low) / (2 * d) - g[at]) < 1e-6
     pii.trained.cache_clear()
+
+
+def test_secrets_of_many_rules(spark):
+    rules = tuple(secrets.Rule(f"r{i}", rf"key{i:02d}x[0-9]{{4}}") for i in range(70)) + (secrets.Rule("open", "[0-9]{9}"),)
+    df = spark.createDataFrame([(0, "a key00x1234 b key32x5678 c key33x9999 d key69x0000 e 123456789"), (1, None)], "doc_id long, text string")
+    got = {x["doc_id"]: [s["k"] for s in x["secret_spans"]] for x in secrets.find_secrets(df, rules=rules).collect()}
+    assert got == {0: [0, 32, 33, 69, 70], 1: []}
+
+
+def test_temporary_names_take_no_columns(spark):
+    """Columns of the caller that are named as an operator's own stay as they are."""
+    names = ["__t", "__rules", "__found", "__key", "__key2", "__spans", "__p", "__p1", "__q", "__host", "__text", "__n", "__i", "__copies", "__copy", "__id", "__k", "__class", "__bad", "__lang", "__score", "bits_per_byte", "secret_spans", "expected_grade", "keep", "tail", "score", "lang_pred", "K", "A", "block"]
+    docs = spark.createDataFrame([(i, t, "en", "s", *[f"{n}{i}" for n in names]) for i, t in enumerate([prose(1), SECRET + " " + prose(2), None])], f"doc_id long, text string, lang string, source string, {', '.join(f'`{n}` string' for n in names)}")
+    bench = spark.createDataFrame([(1, prose(900, 30))], "item_id long, text string")
+
+    def check(out, made=()):
+        rows_ = out.collect()
+        assert rows_
+        for x in rows_:
+            assert all(x[n] == f"{n}{x['doc_id']}" for n in names if n not in made)
+
+    check(secrets.redact(docs))
+    check(secrets.find_secrets(docs), {"secret_spans"})
+    check(neardup.keep_one(docs))
+    check(mixing.mix(docs))
+    check(decontaminate.decontaminate(docs, bench))
+    check(pii.find_pii(docs))
+    check(langid.predict(docs, "text", langid.train(docs, "text", "lang", "doc_id")), {"lang_pred", "score", "bits_per_byte"})
+    check(quality.grade(docs, "text", quality.train(spark.createDataFrame([("a b", 0), ("c d", 1)], "t string, g int"), "t", "g", "g", 2)), {"expected_grade", "keep", "tail"})
+
+
+def test_decontamination_of_very_short_items(spark):
+    """Items of fewer than five words are found where they are all of a document."""
+    df = spark.createDataFrame([(0, "Only three words!"), (1, "only three words more"), (2, "one"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "only three words"), (8, "one"), (9, ""), (10, "...")], "item_id long, text string")
+    assert {(x["doc_id"], x["item"]) for x in decontaminate.overlaps(df, bench).collect()} == {(0, 7), (2, 8)}
+    assert {x["doc_id"] for x in decontaminate.decontaminate(df, bench).collect()} == {1, 3}
