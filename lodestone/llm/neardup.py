@@ -17,7 +17,6 @@
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +31,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 DF_CELLS = 1 << 18
+#: Texts that are compared with a leader in one place.
+PAIRS = 2048
+#: Leaders that may be broadcast (some 300 bytes each); more are joined by a shuffle, in which large buckets can be split.
+BROADCAST_FRONT = 50_000
 #: Text keys that may be broadcast (about 50 bytes each in a hash table); more are joined by a shuffle.
 BROADCAST_KEYS = 300_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -210,9 +213,9 @@ def _open_cells(s: np.ndarray) -> np.ndarray:
 
 
 def weights(texts: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """(key, s, w) of ``texts`` (key, t): shingles and their weights, df being exact over the ``n`` rows of ``rows`` (t).
+    """(key, total, s, w) of ``texts`` (key, t): the weight of all shingles, and those that more than one row has, in order, with their weights.
 
-    Only shingles in cells that ``texts`` mark are counted; a cell that others share makes more to count, no other count.
+    df is exact over the ``n`` rows of ``rows`` (t); a shingle of one row adds to the total alone, as no other text shares it. Only shingles in cells that ``texts`` mark are counted; a cell that others share makes more to count, no other count.
     """
 
     def mark(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,43 +264,48 @@ def weights(texts: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     df = rows.select("t").mapInPandas(count, "s long, df long").groupBy("s").agg(F.sum("df").alias("df")).where("df > 1")
     flat = each.select("key", F.explode_outer(F.arrays_zip("s", "c")).alias("x")).select("key", F.col("x.s").alias("s"), F.col("x.c").alias("c"))
     weight = (F.col("c") * (1 + IDF_SHARE * F.log(n / F.coalesce("df", F.lit(1))) / math.log(n + 1.5))).cast("float")
-    # Shingles that occur once are not stored; a text without any keeps empty lists.
-    x = F.filter(F.collect_list(F.struct("s", weight.alias("w"))), lambda e: e["s"].isNotNull())
-    return flat.join(df, "s", "left").groupBy("key").agg(x.alias("x")).select("key", F.col("x.s").alias("s"), F.col("x.w").alias("w"))
+    x = F.array_sort(F.filter(F.collect_list(F.struct("s", F.when(F.col("df").isNotNull(), weight).alias("w"))), lambda e: e["w"].isNotNull()))
+    each = flat.join(df, "s", "left").groupBy("key").agg(F.coalesce(F.sum(weight.cast("double")), F.lit(0.0)).alias("total"), x.alias("x"))
+    return each.select("key", "total", F.col("x.s").alias("s"), F.col("x.w").alias("w"))
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Of two texts as (sorted shingles, weights); two texts without shingles are alike."""
-    if not len(a[0]) and not len(b[0]):
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
+    """Of two texts as (sorted shingles, their weights, weight of all shingles); two texts without shingles are alike."""
+    if not a[2] and not b[2]:
         return 1.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = float(np.minimum(a[1][i], b[1][j]).sum())
-    return both / (float(a[1].sum()) + float(b[1].sum()) - both)
+    at = np.searchsorted(a[0], b[0])
+    at[at == len(a[0])] = 0
+    same = a[0][at] == b[0] if len(a[0]) else np.zeros(len(b[0]), dtype=bool)
+    both = float(np.minimum(a[1][at[same]], b[1][same]).sum(dtype=np.float64))
+    return both / (a[2] + b[2] - both)
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar enough; texts: (key, s, w)."""
-    of = lambda k: texts.select(F.col("key").alias(k), F.col("s").alias(f"s{k}"), F.col("w").alias(f"w{k}"))
-    rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "wa", "sb", "wb")
+    """The (a, b) of ``pairs`` that are similar enough; texts: (key, total, s, w).
 
-    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
-
-        def of(key: int, s, w):
-            if key not in known:
-                s = np.asarray(s, dtype=np.int64)
-                order = np.argsort(s)
-                known[key] = (s[order], np.asarray(w, dtype=np.float64)[order])
-                if len(known) > 64:
-                    known.popitem(last=False)
-            known.move_to_end(key)
-            return known[key]
+    Each a goes once to each part of ``PAIRS`` of its b, before them, so its shingles are not copied for each pair and no a is
+    more than a part in one task.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64(F.lit(9), "b"), "parts").alias("part"))
+    of = lambda k: texts.select(F.col("key").alias(k), "total", "s", "w")
+    lead = parts.join(of("a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "total", "s", "w")
+    rows = lead.unionByName(dealt.join(of("b"), "b").select("a", "part", "b", "total", "s", "w"))
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = None
         for block in blocks:
-            ok = [weighted_jaccard(of(a, sa, wa), of(b, sb, wb)) >= threshold for a, b, sa, wa, sb, wb in block.itertuples(index=False)]
-            yield block.loc[ok, ["a", "b"]]
+            found = []
+            for a, b, total, s, w in block[["a", "b", "total", "s", "w"]].itertuples(index=False):
+                own = np.asarray(s, dtype=np.int64), np.asarray(w, dtype=np.float32), total
+                if b is None or b != b or b is pd.NA:
+                    now = own[0].copy(), own[1].copy(), total
+                elif weighted_jaccard(now, own) >= threshold:
+                    found.append((a, b))
+            yield pd.DataFrame(found, columns=["a", "b"])
 
-    return rows.mapInPandas(run, "a long, b long")
+    return rows.select("a", F.col("b").cast("string").alias("b"), "total", "s", "w").mapInPandas(run, "a long, b string").select("a", F.col("b").cast("long").alias("b"))
 
 
 def _text(c: str) -> Column:
@@ -351,16 +359,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         left = cut(left.join(one.select("key", "bands"), "key"), "open")
     while not left.isEmpty():
         # A partner of y is lighter than what y's shared part allows: so few of a bucket may be left that there is no pair.
-        fits = f"least(shared, {{0}}shared) >= {threshold} * (weight + {{0}}weight - least(shared, {{0}}shared))"
-        place = left.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("company"), "key")))
-        front = place.where(F.col("r") <= leaders).select("band", F.col("key").alias("a"), F.col("comp").alias("acomp"), F.col("weight").alias("aweight"), F.col("shared").alias("ashared"), F.col("bands").alias("abands"), F.col("r").alias("ar"))
-        # A pair is made in the first of the buckets that both are in, and so once.
-        once = "band = array_intersect(bands, abands)[0]"
-        more = place.join(front, "band").where(f"r > ar AND comp <> acomp AND {fits.format('a')} AND {once}").select("a", F.col("key").alias("b"))
+        fits = f"least(shared, ashared) >= {threshold} * (weight + aweight - least(shared, ashared))"
+        # Only the first ``leaders`` of a bucket are numbered, after each task has kept as many of its own; no bucket is put in order as a whole.
+        place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("company"), "key"))
+        front = left.select("band", "key", "company", "weight", "shared", "comp", "bands").withColumn("r", place).where(F.col("r") <= leaders).drop("r")
+        front = cut(front.select("band", *[F.col(c).alias(f"a{c}") for c in ("key", "company", "weight", "shared", "comp", "bands")]), "front")
+        small = F.broadcast(front) if front.count() <= BROADCAST_FRONT else front
+        # A pair is made under the member that comes first, in the first of the buckets that both are in, and so once.
+        later = "(acompany > company OR acompany = company AND akey < key)"
+        more = left.join(small, "band").where(f"{later} AND comp <> acomp AND {fits} AND band = array_intersect(bands, abands)[0]").select(F.col("akey").alias("a"), F.col("key").alias("b"))
         found = cut(_compare(cut(more, "pairs"), texts, threshold), "links")
         if not found.isEmpty():
             comp = _joined(comp, found)
-        rest = place.where(F.col("r") > leaders).select("band", "key", "company", "weight", "shared", "bands")
+        rest = left.join(front.select("band", F.col("akey").alias("key")), ["band", "key"], "left_anti").select("band", "key", "company", "weight", "shared", "bands")
         left, leaders = _open(rest, comp), leaders * 4
     # A text that is its own class has its key for a component.
     named = one.select("key", "rep").join(comp.select(F.col("id").alias("key"), "comp"), "key", "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
@@ -392,7 +403,7 @@ def _shares(keys: DataFrame, texts: DataFrame) -> DataFrame:
     Occurrences are counted in OPEN_CELLS hashed cells, as bits; cells that two shingles share only make ``shared`` larger.
     """
     spark = texts.sparkSession
-    own = cut(texts.join(keys, "key", "left_semi").select("key", "s", "w"), "own")
+    own = cut(texts.join(keys, "key", "left_semi").select("key", "total", "s", "w"), "own")
 
     def count(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, twice = np.zeros(OPEN_CELLS, dtype=bool), np.zeros(OPEN_CELLS, dtype=bool)
@@ -419,9 +430,9 @@ def _shares(keys: DataFrame, texts: DataFrame) -> DataFrame:
         seen = np.unpackbits(held.value.view(np.uint8), bitorder="little")
         for block in blocks:
             weight, shared_ = [], []
-            for s, w in zip(block["s"], block["w"], strict=True):
+            for total, s, w in zip(block["total"], block["s"], block["w"], strict=True):
                 w = np.asarray(w, dtype=np.float64)
-                weight.append(float(w.sum()))
+                weight.append(total)
                 shared_.append(float(w[seen[_open_cells(np.asarray(s, dtype=np.int64).view(np.uint64))] == 1].sum()))
             yield pd.DataFrame({"key": block["key"], "weight": weight, "shared": shared_})
 
