@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,18 @@ def _stars(e: DataFrame) -> bool:
     return not ends.agg(F.max((F.col("down") + F.col("up") > 1) & (F.col("down") > 0))).first()[0]
 
 
+def pieces(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+    """The texts in groups of up to ``chars`` characters; a longer text is a group of its own."""
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) < chars):
+            size += len(texts[end])
+            end += 1
+        yield texts[start:end]
+        start = end
+
+
 def free(df: DataFrame, *wanted: str) -> list[str]:
     """Names for columns that ``df`` has none of, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free, ship, table
+from lodestone.llm.common import free, pieces, ship, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -238,20 +238,60 @@ def trained(epochs: int = 120, rate: float = 0.1, l2: float = 0.003) -> Crf:
     return Crf(index, *params)
 
 
-class Plain(dict):
-    """word (with the signs around it) -> 0 if it is a plain word of the field, 1 if not, 2 if nothing of it is a token; bounded."""
+_SPACE, _LETTER, _TRIM, _DOT, _OTHER = range(5)
 
-    def __init__(self, cues: frozenset[str]):
-        self.cues = cues
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        w = word.lstrip(_EDGE).rstrip(_EDGE + ".")
-        kind = 2 if not w else 0 if w.isalpha() and ((c := _cue(w)) in self.cues or not c) else 1  # its shape is "x"
-        if len(word) < 64:  # longer ones are not worth their place
-            self[word] = kind
-        return kind
+@lru_cache(1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: what it is in a token, and its lower-case form."""
+    kind, low = np.full(0x110000, _OTHER, dtype=np.uint8), np.zeros(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isspace():
+            kind[i] = _SPACE
+        elif c.isalpha():
+            kind[i], low[i] = _LETTER, ord(c.lower()[0])
+    kind[[ord(c) for c in _EDGE]] = _TRIM
+    kind[ord(".")] = _DOT
+    return kind, low
+
+
+def _packed(word: str) -> int:
+    return sum(ord(c) << (8 * k) for k, c in enumerate(word))
+
+
+def words(texts: list[str], cues: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, kind) of the words of all texts, joined by a line's end. Kind 0: a plain word of the field, letters alone between
+    signs that are trimmed and no cue but one of ``cues``; 1: any other; 2: nothing but such signs, which is no token."""
+    kind, low = _characters()
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    cls = kind[codes]
+    word = np.zeros(len(cls) + 2, dtype=np.int8)
+    word[1:-1] = cls != _SPACE
+    edge = np.diff(word)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(start):
+        return start, end, np.zeros(0, np.int8)
+    letter = np.zeros(len(cls) + 2, dtype=np.int8)
+    letter[1:-1] = cls == _LETTER
+    edge = np.diff(letter)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # runs of letters
+    at = np.searchsorted(first, start)
+    runs = np.diff(np.append(at, len(first)))
+    other = np.add.reduceat(cls == _OTHER, start, dtype=np.int32)
+    out = np.ones(len(start), dtype=np.int8)
+    out[(runs == 0) & (other == 0)] = 2
+    one = np.flatnonzero((runs == 1) & (other == 0))
+    a, b = first[at[one]], last[at[one]]
+    dots = np.append(0, np.cumsum(cls == _DOT, dtype=np.int32))
+    ok = dots[a] == dots[start[one]]  # a dot before the letters is not trimmed
+    key, most = np.zeros(len(one), dtype=np.int64), max(map(len, _CUES))
+    for k in range(most):
+        here = a + k < b
+        key[here] |= low[codes[a[here] + k]].astype(np.int64) << (8 * k)
+    ok &= (b - a > most) | ~np.isin(key, [_packed(c) for c in _CUES - cues])
+    out[one[ok]] = 0
+    return start, end, out
 
 
 def margin(crf: Crf, most: int = 12) -> tuple[int, frozenset[str]] | None:
@@ -407,39 +447,37 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start + len(w) - len(w.lstrip(_EDGE)), start + len(w.rstrip(_EDGE + "."))
 
 
-def _stretches(text: str, plain: Plain, reach: int) -> Iterator[tuple[list[tuple[int, int]], list[tuple[int, int]], bool, bool]]:
-    """(tokens, the tokens and two neighbours at each side, whether tokens come before, whether behind) of each stretch to decode."""
-    words = text.split()
-    kinds = np.fromiter(map(plain.__getitem__, words), np.int8, len(words))
-    real = np.flatnonzero(kinds != 2)
-    at = np.flatnonzero(kinds[real] == 1)
-    if not len(at):
-        return
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    if lens.sum() + len(words) - 1 == len(text):  # one blank between words
-        start = np.cumsum(lens + 1) - lens - 1
-    else:
-        start = np.fromiter((m.start() for m in _TOKEN.finditer(text)), np.int64, len(words))
-    for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1):
-        a, b = max(0, int(part[0]) - reach), min(len(real), int(part[-1]) + reach + 1)
-        lo, hi = max(0, a - 2), min(len(real), b + 2)
-        around = [_trimmed(text, s, s + n) for s, n in zip(start[real[lo:hi]].tolist(), lens[real[lo:hi]].tolist(), strict=True)]
-        yield around[a - lo : b - lo], around, a > 0, b < len(real)
-
-
-def find_spans(texts: list[str], crf: Crf, plain: Plain | None = None, reach: int = 0) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
-    """The pattern spans and the added spans of each text, as (kind, start, end). Without ``plain`` all tokens are decoded."""
+def _stretches(texts: list[str], reach: int, cues: frozenset[str]) -> Iterator[tuple[int, list[tuple[int, int]], list[tuple[int, int]], bool, bool]]:
+    """(text, tokens, the tokens and two neighbours at each side, whether tokens come before, whether behind) of each stretch to decode."""
+    start, end, kind = words(texts, cues)
+    real = np.flatnonzero(kind != 2)
+    start, end, hot = start[real], end[real], np.flatnonzero(kind[real] == 1)
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    bound = np.searchsorted(start, begin)  # the texts' first tokens
+    of = np.searchsorted(bound, hot, side="right") - 1
+    for part in np.split(np.arange(len(hot)), np.flatnonzero((np.diff(hot) > 2 * reach) | (np.diff(of) > 0)) + 1):
+        if not len(part):
+            continue
+        i = int(of[part[0]])
+        least, most = int(bound[i]), int(bound[i + 1])
+        a, b = max(least, int(hot[part[0]]) - reach), min(most, int(hot[part[-1]]) + reach + 1)
+        lo, hi, text = max(least, a - 2), min(most, b + 2), texts[i]
+        around = [_trimmed(text, x, y) for x, y in zip((start[lo:hi] - begin[i]).tolist(), (end[lo:hi] - begin[i]).tolist(), strict=True)]
+        yield i, around[a - lo : b - lo], around, a > least, b < most
+
+
+def find_spans(texts: list[str], crf: Crf, known: tuple[int, frozenset[str]] | None = None) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
+    """The pattern spans and the added spans of each text, as (kind, start, end). Without ``known``, a ``margin``, all tokens are decoded."""
     base = [patterns(t) for t in texts]
     seqs: list[tuple[int, list[tuple[int, int]]]] = []
     emissions, ends = [], []
-    for i, t in enumerate(texts):
-        found = _stretches(t, plain, reach) if plain is not None else [(k := _tokens(t), k, False, False)]
-        for toks, around, before, behind in found:
-            e = crf.emissions([t[x:y] for x, y in around])  # neighbours are features
-            first = 0 if not before else min(2, around.index(toks[0]))
-            emissions.append(e[first : first + len(toks)])
-            seqs.append((i, toks))
-            ends.append((before, behind))
+    found = _stretches(texts, *known) if known else ((i, k := _tokens(t), k, False, False) for i, t in enumerate(texts))
+    for i, toks, around, before, behind in found:
+        e = crf.emissions([texts[i][x:y] for x, y in around])  # neighbours are features
+        first = min(2, around.index(toks[0])) if before else 0
+        emissions.append(e[first : first + len(toks)])
+        seqs.append((i, toks))
+        ends.append((before, behind))
     labels = viterbi(crf, emissions, ends=ends)
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for (i, toks), y in zip(seqs, labels, strict=True):
@@ -470,14 +508,13 @@ def find_pii(docs: DataFrame, text: str = "text", base: str = "base_spans", adde
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         crf, known = held.value
-        plain, reach = (Plain(known[1]), known[0]) if known else (None, 0)
         as_rows = lambda x: [[{"k": k, "s": s, "e": e} for k, s, e in spans] for spans in x]
         for part in parts:
             b, a = [], []
-            for at in range(0, len(part), 512):
-                some = find_spans(["" if t is None else t for t in part.iloc[at : at + 512]], crf, plain, reach)
-                b += as_rows(some[0])
-                a += as_rows(some[1])
+            for some in pieces(part.tolist()):
+                got = find_spans(some, crf, known)
+                b += as_rows(got[0])
+                a += as_rows(got[1])
             yield pd.DataFrame({"b": b, "a": a})
 
     kind = "array<struct<k: int, s: int, e: int>>"
