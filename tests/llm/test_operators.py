@@ -411,11 +411,11 @@ def test_decontamination_finds_every_accepted_pattern(spark):
 
 
 def brute_search(docs, queries, k):
-    """docs: (id, text) rows. Equal texts are one entry of the statistics."""
+    """docs: (id, text) rows, all of which count in the statistics."""
     ws = lambda t: re.findall(r"\w+", (t or "").lower())
     texts = {t: Counter(ws(t)) for _, t in docs if ws(t)}
-    n, mean = len(texts), sum(sum(c.values()) for c in texts.values()) / max(1, len(texts))
-    df = Counter(w for c in texts.values() for w in c)
+    n, mean = len(docs), sum(len(ws(t)) for _, t in docs) / max(1, len(docs))
+    df = Counter(w for _, t in docs for w in set(ws(t)))
     out = set()
     for q, qt in queries:
         scores = []
@@ -431,7 +431,7 @@ def brute_search(docs, queries, k):
 
 
 def test_search_equals_brute_force(spark, odd, none, monkeypatch):
-    monkeypatch.setattr(search, "SHARD_TEXTS", 40)
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 500)
     monkeypatch.setattr(search, "QUERY_TERMS", 100)
     monkeypatch.setattr(search, "FAN_IN", 2)
     monkeypatch.setattr(search, "BLOCK", 8)
@@ -447,23 +447,29 @@ def test_search_equals_brute_force(spark, odd, none, monkeypatch):
     assert {x["query_id"] for x in got} == {0, 7} and got[0]["score"] > 0
 
 
-def test_search_prunes_and_stays_exact():
-    import numpy as np
-
+def test_search_skips_blocks_and_stays_exact():
+    """Texts of four vocabularies and near copies: postings of blocks below the threshold are not read, and results equal a full scan."""
     rng = np.random.default_rng(7)
-    terms = [np.unique(rng.zipf(1.3, 60) % 5000).astype(np.int64) for _ in range(3000)]
+    terms = [np.unique((rng.zipf(1.3, 60) % 5000) * 4 + i % 4).astype(np.int64) for i in range(3000)]
+    for i in range(0, 3000, 10):
+        for j in range(1, 10):
+            terms[i + j] = np.unique(np.append(terms[i][j:], rng.integers(0, 20000, 2)))
     tfs = [rng.integers(1, 5, len(t)).astype(np.int32) for t in terms]
     lens = np.array([x.sum() for x in tfs], dtype=float)
-    s = search.Shard(np.arange(3000), np.arange(3000), lens, np.concatenate(terms), np.concatenate(tfs), np.array([len(x) for x in terms]), lens.mean())
-    for q in range(40):
+    got = search.Shard.build(list(range(3000)), list(range(3000)), [1] * 3000, terms, tfs)
+    of = {k: search._unpack(v) for k, v in got.items()}
+    mean = lens.mean()
+    s = search.Shard(of["keys"].astype(np.int64), of["reps"].astype(np.int64), of["lens"], of["terms"].astype(np.int64), of["start"].astype(np.int64), of["who"], of["tf"].astype(np.int32), mean, 16)
+    for q in range(0, 3000, 75):
         w = rng.random(len(terms[q])) * 3
-        full = np.zeros(3000)
-        for t, x in zip(terms[q], w):
-            k = np.searchsorted(s.terms, t)
-            full[s.who[s.start[k] : s.start[k + 1]]] += x * s.impact[s.start[k] : s.start[k + 1]]
-        keys, got = s.best(terms[q], w, 10)
+        weight = dict(zip(terms[q].tolist(), w.tolist()))
+        full = np.array([sum(weight[t] * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * n / mean)) for t, f in zip(ts.tolist(), fs.tolist()) if t in weight) for ts, fs, n in zip(terms, tfs, lens)])
+        at, score = s.best(terms[q], w, 10)
         want = np.lexsort((np.arange(3000), -np.round(full, 9)))[:10]
-        assert list(keys) == list(want) and np.allclose(got, full[want])
+        assert list(s.keys[at]) == list(want) and np.allclose(score, full[want])
+        at, score = s.best(terms[q], w, 10, float(np.round(full[want[4]], 9)))  # a threshold from elsewhere loses nothing above it
+        assert list(s.keys[at][:5]) == list(want[:5])
+    assert 0 < s.read < 0.6 * s.total
 
 
 # -- 9 tokens -----------------------------------------------------------------------------------------------------
