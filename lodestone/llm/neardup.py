@@ -5,17 +5,20 @@
 2. Each text gets ``BANDS * ROWS`` consistent weighted samples; two texts agree in one with the
    probability of their weighted Jaccard similarity. Texts that agree in all rows of a band are candidates. The samples, and nothing
    else, take df from ``DF_CELLS`` hashed cells, a table of one size at any corpus size: candidates need no exact weights.
-   For comparisons, the df of every shingle of a candidate is counted exactly, over all documents.
+   Comparisons count df exactly, over all documents.
 3. In each bucket every text is compared with the bucket's leader, so the comparisons are as many as the members. The leader is the
    text with the most company in all its buckets, which in a group of copies is one close to the original.
    Where members of a bucket still belong to different classes, further members lead, four times as many in each round, until every pair
    of a bucket lies in one class, has been compared, or can't be similar: a text shares with others at most its shingles that some
    other open text has as well. Pairs inside a class are never made.
-4. Comparisons use the exact weighted Jaccard similarity of the whole texts, by exact document frequencies; links of at least ``threshold`` join classes.
+4. Links join classes where the weighted Jaccard similarity of the whole texts, by exact document frequencies, is at least ``threshold``. As a
+   weight is between 1 and 1 + IDF_SHARE for each count, the similarity of the counts alone bounds it from both sides; document frequencies are
+   only counted, over all documents, for the pairs that these bounds leave open.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -212,10 +215,26 @@ def _open_cells(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - int(math.log2(OPEN_CELLS)))).astype(np.int64)
 
 
-def weights(texts: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """(key, total, s, w) of ``texts`` (key, t): the weight of all shingles, and those that more than one row has, in order, with their weights.
+def counted(texts: DataFrame) -> DataFrame:
+    """(key, total, s, w) of ``texts`` (key, t): the shingles in order (as unsigned numbers), how often each occurs, and the sum of that."""
 
-    df is exact over the ``n`` rows of ``rows`` (t); a shingle of one row adds to the total alone, as no other text shares it. Only shingles in cells that ``texts`` mark are counted; a cell that others share makes more to count, no other count.
+    def own(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks:
+            keys = block["key"].to_numpy()
+            for start, part in _pieces(block["t"].tolist()):
+                owner, s, c = shingles(part)
+                ends = np.cumsum(np.bincount(owner, minlength=len(part)))[:-1]
+                got_s, got_c = np.split(s.view(np.int64), ends), np.split(c.astype(np.float32), ends)
+                yield pd.DataFrame({"key": keys[start : start + len(part)], "total": np.bincount(owner, c, minlength=len(part)), "s": pd.Series(got_s, dtype=object), "w": pd.Series(got_c, dtype=object)})
+
+    return texts.mapInPandas(own, "key long, total double, s array<long>, w array<float>")
+
+
+def weights(each: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(key, total, s, w) of ``each``, which counted() made: the same with each count times the shingle's weight.
+
+    df is exact over the ``n`` rows of ``rows`` (t). A shingle of one row adds to the total alone, as no other text shares it. Only shingles in cells
+    that ``each`` marks are counted; a cell that others share makes more to count, no other count.
     """
 
     def mark(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,21 +245,10 @@ def weights(texts: DataFrame, rows: DataFrame, n: int) -> DataFrame:
         at = np.flatnonzero(words)
         yield pd.DataFrame({"w": at.astype(np.int32), "bits": words[at]})
 
-    def own(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in blocks:
-            got_s, got_c = [], []
-            for _, part in _pieces(block["t"].tolist()):
-                owner, s, c = shingles(part)
-                ends = np.cumsum(np.bincount(owner, minlength=len(part)))[:-1]
-                got_s += np.split(s.view(np.int64), ends)
-                got_c += np.split(c.astype(np.int32), ends)
-            yield pd.DataFrame({"key": block["key"], "s": pd.Series(got_s, index=block.index, dtype=object), "c": pd.Series(got_c, index=block.index, dtype=object)})
-
-    each = cut(texts.mapInPandas(own, "key long, s array<long>, c array<int>"), "shingles")
     marked = each.where("size(s) > 0").select("s").mapInPandas(mark, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
     flags = np.zeros(OPEN_CELLS // 64, dtype=np.int64)
     flags[marked["w"].to_numpy(dtype=np.int64)] = marked["bits"].to_numpy(dtype=np.int64)
-    held = texts.sparkSession.sparkContext.broadcast(flags)  # OPEN_CELLS bits: two megabytes
+    held = each.sparkSession.sparkContext.broadcast(flags)  # OPEN_CELLS bits: two megabytes
 
     def count(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.unpackbits(held.value.view(np.uint8), bitorder="little").view(bool)
@@ -262,11 +270,11 @@ def weights(texts: DataFrame, rows: DataFrame, n: int) -> DataFrame:
             yield sums(parts)
 
     df = rows.select("t").mapInPandas(count, "s long, df long").groupBy("s").agg(F.sum("df").alias("df")).where("df > 1")
-    flat = each.select("key", F.explode_outer(F.arrays_zip("s", "c")).alias("x")).select("key", F.col("x.s").alias("s"), F.col("x.c").alias("c"))
+    flat = each.select("key", F.explode_outer(F.arrays_zip("s", "w")).alias("x")).select("key", F.col("x.s").alias("s"), F.col("x.w").alias("c"))
     weight = (F.col("c") * (1 + IDF_SHARE * F.log(n / F.coalesce("df", F.lit(1))) / math.log(n + 1.5))).cast("float")
-    x = F.array_sort(F.filter(F.collect_list(F.struct("s", F.when(F.col("df").isNotNull(), weight).alias("w"))), lambda e: e["w"].isNotNull()))
-    each = flat.join(df, "s", "left").groupBy("key").agg(F.coalesce(F.sum(weight.cast("double")), F.lit(0.0)).alias("total"), x.alias("x"))
-    return each.select("key", "total", F.col("x.s").alias("s"), F.col("x.w").alias("w"))
+    x = F.array_sort(F.filter(F.collect_list(F.struct((F.col("s").bitwiseXOR(F.lit(-(1 << 63)))).alias("o"), F.when(F.col("df").isNotNull(), weight).alias("w"))), lambda e: e["w"].isNotNull()))
+    out = flat.join(df, "s", "left").groupBy("key").agg(F.coalesce(F.sum(weight.cast("double")), F.lit(0.0)).alias("total"), x.alias("x"))
+    return out.select("key", "total", F.transform("x.o", lambda o: o.bitwiseXOR(F.lit(-(1 << 63)))).alias("s"), F.col("x.w").alias("w"))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
@@ -280,8 +288,8 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarra
     return both / (a[2] + b[2] - both)
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar enough; texts: (key, total, s, w).
+def _compare(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, j): the ``pairs`` (a, b) whose similarity j is ``least`` or more; texts: (key, total, s, w).
 
     Each a goes once to each part of ``PAIRS`` of its b, before them, so its shingles are not copied for each pair and no a is
     more than a part in one task.
@@ -297,15 +305,17 @@ def _compare(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         now = None
         for block in blocks:
             found = []
-            for a, b, total, s, w in block[["a", "b", "total", "s", "w"]].itertuples(index=False):
-                own = np.asarray(s, dtype=np.int64), np.asarray(w, dtype=np.float32), total
-                if b is None or b != b or b is pd.NA:
+            for k, (a, total, s, w) in enumerate(zip(block["a"].tolist(), block["total"].tolist(), block["s"], block["w"], strict=True)):
+                own = np.asarray(s, dtype=np.int64).view(np.uint64), np.asarray(w, dtype=np.float32), total
+                b = block["b"].iat[k]
+                if b is None:
                     now = own[0].copy(), own[1].copy(), total
-                elif weighted_jaccard(now, own) >= threshold:
-                    found.append((a, b))
-            yield pd.DataFrame(found, columns=["a", "b"])
+                elif (j := weighted_jaccard(now, own)) >= least:
+                    found.append((a, b, j))
+            yield pd.DataFrame(found, columns=["a", "b", "j"])
 
-    return rows.select("a", F.col("b").cast("string").alias("b"), "total", "s", "w").mapInPandas(run, "a long, b string").select("a", F.col("b").cast("long").alias("b"))
+    found = rows.select("a", F.col("b").cast("string").alias("b"), "total", "s", "w").mapInPandas(run, "a long, b string, j double")
+    return found.select("a", F.col("b").cast("long").alias("b"), "j")
 
 
 def _text(c: str) -> Column:
@@ -340,26 +350,36 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     one = sk.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     one = cut(one, "texts")
     member = one.select("key", F.explode("bands").alias("band"))
-    crowd = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = _small(member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     member = cut(member.join(crowd, "band").select("band", "key", "n"), "buckets")
     rank = member.groupBy("key").agg(F.sum("n").alias("company"))
     member = member.join(rank, "key").select("band", "key", "n", "company")
-    lead = member.groupBy("band").agg(F.max_by("key", F.struct("company", "key")).alias("lead"))
+    lead = _small(member.groupBy("band").agg(F.max_by("key", F.struct("company", "key")).alias("lead")))
     member = cut(member.join(lead, "band"), "buckets")
     pairs = cut(member.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    keys = cut(member.select(F.col("key").alias("k")).distinct(), "keys")
-    small = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    keys = member.select(F.col("key").alias("k")).distinct()
+    small = _small(keys)
     texts = cut(rows.join(small, F.col("key") == F.col("k"), "left_semi").groupBy("key").agg(F.first("t").alias("t")), "candidates")
-    texts = cut(weights(texts, rows, n_rows), "weights")
-    links = cut(_compare(pairs, texts, threshold), "links")
-    comp = components(links)
-    left, leaders = _open(member.where("n > 2 AND key <> lead").select("band", "key", "company"), comp), 2
+    texts = cut(counted(texts), "shingles")
+    # Similarities of counts from which the weighted one is at least the threshold, and below which it is not, whatever the weights are.
+    sure, least = (r := 1 + IDF_SHARE) * threshold / (1 - threshold + r * threshold) + 1e-9, threshold / (threshold + (1 - threshold) * r) - 1e-9
+
+    def exactly(doubt: DataFrame) -> DataFrame:
+        """The (a, b) of ``doubt`` that are similar enough by their weights."""
+        ends = doubt.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        some = cut(weights(cut(texts.join(ends, "key", "left_semi"), "doubt"), rows, n_rows), "weights")
+        return cut(_compare(doubt.select("a", "b"), some, threshold).select("a", "b"), "links")
+
+    judged = cut(_compare(pairs, texts, least), "judged")
+    links, doubt = judged.where(F.col("j") >= sure).select("a", "b"), judged.where(F.col("j") < sure)
+    comp = components(links if doubt.isEmpty() else links.unionByName(exactly(doubt)))
+    left, leaders, doubts = _open(member.where("n > 2 AND key <> lead").select("band", "key", "company"), comp), 2, []
     if not left.isEmpty():
-        left = left.join(_shares(left.select("key").distinct(), texts), "key").where(f"shared >= {threshold} * weight")
+        left = left.join(_shares(left.select("key").distinct(), texts), "key").where(f"shared >= {least} * weight")
         left = cut(left.join(one.select("key", "bands"), "key"), "open")
     while not left.isEmpty():
         # A partner of y is lighter than what y's shared part allows: so few of a bucket may be left that there is no pair.
-        fits = f"least(shared, ashared) >= {threshold} * (weight + aweight - least(shared, ashared))"
+        fits = f"least(shared, ashared) >= {least} * (weight + aweight - least(shared, ashared))"
         # Only the first ``leaders`` of a bucket are numbered, after each task has kept as many of its own; no bucket is put in order as a whole.
         place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("company"), "key"))
         front = left.select("band", "key", "company", "weight", "shared", "comp", "bands").withColumn("r", place).where(F.col("r") <= leaders).drop("r")
@@ -368,11 +388,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         # A pair is made under the member that comes first, in the first of the buckets that both are in, and so once.
         later = "(acompany > company OR acompany = company AND akey < key)"
         more = left.join(small, "band").where(f"{later} AND comp <> acomp AND {fits} AND band = array_intersect(bands, abands)[0]").select(F.col("akey").alias("a"), F.col("key").alias("b"))
-        found = cut(_compare(cut(more, "pairs"), texts, threshold), "links")
+        judged = cut(_compare(cut(more, "pairs"), texts, least), "judged")
+        doubts.append(judged.where(F.col("j") < sure).select("a", "b"))
+        found = judged.where(F.col("j") >= sure).select("a", "b")
         if not found.isEmpty():
             comp = _joined(comp, found)
         rest = left.join(front.select("band", F.col("akey").alias("key")), ["band", "key"], "left_anti").select("band", "key", "company", "weight", "shared", "bands")
         left, leaders = _open(rest, comp), leaders * 4
+    if doubts:  # all pairs that are left open are settled at once
+        of = lambda side: comp.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
+        doubt = functools.reduce(DataFrame.unionByName, doubts)
+        doubt = cut(doubt.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "doubt")
+        if not doubt.isEmpty() and not (found := exactly(doubt)).isEmpty():
+            comp = _joined(comp, found)
     # A text that is its own class has its key for a component.
     named = one.select("key", "rep").join(comp.select(F.col("id").alias("key"), "comp"), "key", "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
     # Only texts that belong with others have to look up the class; the rest are their own.
@@ -393,10 +421,17 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The members of buckets in which texts of different classes are left, with ``comp``."""
     now = members.join(comp.select(F.col("id").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    mixed = now.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("band")
+    now = cut(now, "members")
+    mixed = _small(now.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("band"))
     return cut(now.join(mixed, "band"), "open")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` as a table, broadcast if it is small; then large buckets stay where they are."""
+    df = cut(df, "small")
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def _shares(keys: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, weight, shared) of texts: ``shared`` is the weight of the shingles that at least two of them have, at least.
 
@@ -447,8 +482,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     name, key2, key = free(docs, "class", "k", "key")
     got = cut(classes(docs, doc_id, text, **how), "kept")
     pick = got.where("doc_id <=> class_id").groupBy("comp").agg(F.min(F.struct("key", "doc_id")).alias("p"))
-    pick = cut(pick.select(F.col("p.doc_id").alias(name), F.col("p.key").alias(key2)), "picks")
-    pick = F.broadcast(pick) if pick.count() <= BROADCAST_KEYS else pick
+    pick = _small(pick.select(F.col("p.doc_id").alias(name), F.col("p.key").alias(key2)))
     row = docs.withColumn(key, F.xxhash64(_text(text)))
     row = row.join(pick, (F.col(key) == F.col(key2)) & F.col(doc_id).eqNullSafe(F.col(name)), "left_semi")
     return row.dropDuplicates([doc_id, key]).select(*[f"`{c}`" for c in docs.columns])
