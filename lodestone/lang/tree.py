@@ -207,13 +207,14 @@ class Element(Node):
 
 @dataclass
 class Step(Node):
-    """A step of a path: properties (``*`` for all), a filter or an element, a repetition [low, high]."""
+    """A step of a path: properties (``*`` for all), a filter or an element, a repetition [low, high]; ``last``: the filter is for the last node."""
 
     props: list[str]
     where: Node | None = None
     element: Node | str | None = None
     low: int = 1
     high: int | None = 1
+    last: bool = False
 
 
 @dataclass

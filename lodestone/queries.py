@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import WORD
 from lodestone.operators import text_search, windows
 from lodestone.session import Session
+from lodestone.sources.catalog import shared_dir
 from lodestone.sources.store import Store
 from lodestone.streaming import events as class_events
 from lodestone.streaming import machines
@@ -350,8 +350,7 @@ def _fsm_batch(spark, sf_dir):
 
 def _changed(script: str, result: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        store = Store(spark, f"{conf.rstrip('/')}/store-{uuid.uuid4().hex}")
+        store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
         s = Session(spark, store).register_parquet(sf_dir)
         s.execute("INSERT INTO land SELECT n_nationkey AS code, n_name AS label, n_regionkey AS area FROM nation")
         s.execute(script)

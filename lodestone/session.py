@@ -47,6 +47,7 @@ _FLAGS = {
     "strict_missing": "rows whose group or sort keys are all missing are dropped",
     "all_words": "MATCH asks for every word",
     "filter_stop_words": "MATCH ignores stop words in the query",
+    "path_depth": "the rows at the end of a step have a column depth: how many times it was repeated",
 }
 
 

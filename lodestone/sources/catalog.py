@@ -14,6 +14,24 @@ from lodestone.lang import tree as t
 _COUNTER = itertools.count()
 
 
+def shared_dir(spark) -> str:
+    """The folder that all executors share, for written intermediate results; a cluster has to name one, local mode makes its own."""
+    import re
+    import tempfile
+
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if conf:
+        return conf.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master or ""):
+        raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
+    if spark.sparkContext.applicationId not in _LOCAL:
+        _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    return _LOCAL[spark.sparkContext.applicationId]
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def fresh(label: str) -> str:
     """A view or alias name that no other has."""
     return f"ls_{label}_{next(_COUNTER)}"
