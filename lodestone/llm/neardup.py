@@ -13,12 +13,11 @@
    other open text has as well. Pairs inside a class are never made.
 4. Links join classes where the weighted Jaccard similarity of the whole texts, by exact document frequencies, is at least ``threshold``. As a
    weight is between 1 and 1 + IDF_SHARE for each count, the similarity of the counts alone bounds it from both sides; document frequencies are
-   only counted, over all documents, for the pairs that these bounds leave open.
+   only counted, over all documents, for the texts of pairs that these bounds leave open and for those of buckets that need further leaders.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -364,22 +363,27 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     # Similarities of counts from which the weighted one is at least the threshold, and below which it is not, whatever the weights are.
     sure, least = (r := 1 + IDF_SHARE) * threshold / (1 - threshold + r * threshold) + 1e-9, threshold / (threshold + (1 - threshold) * r) - 1e-9
 
-    def exactly(doubt: DataFrame) -> DataFrame:
-        """The (a, b) of ``doubt`` that are similar enough by their weights."""
-        ends = doubt.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        some = cut(weights(cut(texts.join(ends, "key", "left_semi"), "doubt"), rows, n_rows), "weights")
-        return cut(_compare(doubt.select("a", "b"), some, threshold).select("a", "b"), "links")
+    def weighed(keys: DataFrame) -> DataFrame:
+        """The weights of the texts of these keys."""
+        return cut(weights(cut(texts.join(_small(keys), "key", "left_semi"), "some"), rows, n_rows), "weights")
 
     judged = cut(_compare(pairs, texts, least), "judged")
-    links, doubt = judged.where(F.col("j") >= sure).select("a", "b"), judged.where(F.col("j") < sure)
-    comp = components(links if doubt.isEmpty() else links.unionByName(exactly(doubt)))
-    left, leaders, doubts = _open(member.where("n > 2 AND key <> lead").select("band", "key", "company"), comp), 2, []
+    links, doubt = judged.where(F.col("j") >= sure).select("a", "b"), judged.where(F.col("j") < sure).select("a", "b")
+    if not doubt.isEmpty():
+        ends = doubt.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        links = links.unionByName(cut(_compare(doubt, weighed(ends), threshold).select("a", "b"), "links"))
+    comp = components(links)
+    left, leaders = _open(member.where("n > 2 AND key <> lead").select("band", "key", "company"), comp), 2
     if not left.isEmpty():
-        left = left.join(_shares(left.select("key").distinct(), texts), "key").where(f"shared >= {least} * weight")
+        left = left.join(_shares(left.select("key").distinct(), texts), "key").where(f"shared >= {least} * weight").drop("weight", "shared")
+        left = _open(left.select("band", "key", "company"), comp)
+    if not left.isEmpty():
+        texts = weighed(left.select("key").distinct())
+        left = left.join(_shares(left.select("key").distinct(), texts), "key").where(f"shared >= {threshold} * weight")
         left = cut(left.join(one.select("key", "bands"), "key"), "open")
     while not left.isEmpty():
         # A partner of y is lighter than what y's shared part allows: so few of a bucket may be left that there is no pair.
-        fits = f"least(shared, ashared) >= {least} * (weight + aweight - least(shared, ashared))"
+        fits = f"least(shared, ashared) >= {threshold} * (weight + aweight - least(shared, ashared))"
         # Only the first ``leaders`` of a bucket are numbered, after each task has kept as many of its own; no bucket is put in order as a whole.
         place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("company"), "key"))
         front = left.select("band", "key", "company", "weight", "shared", "comp", "bands").withColumn("r", place).where(F.col("r") <= leaders).drop("r")
@@ -388,19 +392,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         # A pair is made under the member that comes first, in the first of the buckets that both are in, and so once.
         later = "(acompany > company OR acompany = company AND akey < key)"
         more = left.join(small, "band").where(f"{later} AND comp <> acomp AND {fits} AND band = array_intersect(bands, abands)[0]").select(F.col("akey").alias("a"), F.col("key").alias("b"))
-        judged = cut(_compare(cut(more, "pairs"), texts, least), "judged")
-        doubts.append(judged.where(F.col("j") < sure).select("a", "b"))
-        found = judged.where(F.col("j") >= sure).select("a", "b")
+        found = cut(_compare(cut(more, "pairs"), texts, threshold).select("a", "b"), "links")
         if not found.isEmpty():
             comp = _joined(comp, found)
         rest = left.join(front.select("band", F.col("akey").alias("key")), ["band", "key"], "left_anti").select("band", "key", "company", "weight", "shared", "bands")
         left, leaders = _open(rest, comp), leaders * 4
-    if doubts:  # all pairs that are left open are settled at once
-        of = lambda side: comp.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
-        doubt = functools.reduce(DataFrame.unionByName, doubts)
-        doubt = cut(doubt.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "doubt")
-        if not doubt.isEmpty() and not (found := exactly(doubt)).isEmpty():
-            comp = _joined(comp, found)
     # A text that is its own class has its key for a component.
     named = one.select("key", "rep").join(comp.select(F.col("id").alias("key"), "comp"), "key", "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
     # Only texts that belong with others have to look up the class; the rest are their own.
