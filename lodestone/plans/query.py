@@ -31,10 +31,6 @@ def has_aggregate(n) -> bool:
     return any(isinstance(x, t.Call) and x.name in AGGREGATES and (x.star or len(x.args) == 1) for x in walk(n))
 
 
-def own_calls(n, name: str) -> list[t.Call]:
-    return [x for x in walk(n) if isinstance(x, t.Call) and x.name == name and len(x.args) == 1]
-
-
 def subst(n, params: dict):
     """A copy of a tree with parameters replaced."""
     if isinstance(n, t.Param) and (n.key in params or str(n.key) in params):
@@ -175,11 +171,8 @@ class Planner:
                 order.append(self._order_sql(x.sql if not x.array else f"try_element_at({x.sql}, 1)", o))
         source = f" FROM {scope.joined()}" if q.source is not None else ""
         cond = f" WHERE {' AND '.join(where)}" if where else ""
-        positions = own_calls([q.items, q.having, q.order], "ARGMIN") + own_calls([q.items, q.having, q.order], "ARGMAX")
-        if grouped and any(not r.typed(c.args[0]).array for c in positions):
-            source, cond = self._with_positions(scope, source, cond, groups)
-        if grouped and self.s.pending_histograms:
-            return self._with_histograms(items, source, cond, groups, having, order)
+        if grouped and self.s.pending_parts:
+            return self._with_parts(scope, items, source, cond, groups, having, order)
         head = "SELECT " + ("DISTINCT " if "DISTINCT" in q.modes else "") + ", ".join(f"{x} AS {quote(n)}" if n else x for x, n in items)
         tail = f" GROUP BY {', '.join(groups)}" if groups else ""
         tail += f" HAVING {having}" if having else ""
@@ -245,36 +238,52 @@ class Planner:
                     out.append(f"{r.alias}.{quote(f.name)}")
         return out
 
-    def _with_positions(self, scope: Scope, source: str, cond: str, groups: list[str]) -> tuple[str, str]:
-        """Adds each row's place in its group, by the key of the first source, for ARGMIN and ARGMAX."""
-        r = scope.rels[0]
-        if len(scope.rels) > 1 or scope.extra:
-            raise SyntaxProblem("ARGMIN and ARGMAX in groups take one source")
-        by = f"PARTITION BY {', '.join(groups)} " if groups else ""
-        order = ", ".join(f"{r.alias}.{quote(f.name)}" for f in ([r.column(r.key)] if r.key else r.schema))
-        return f" FROM (SELECT {r.alias}.*, CAST(row_number() OVER ({by}ORDER BY {order}) - 1 AS INT) AS __pos{source}{cond}) AS {r.alias}", ""
-
-    def _with_histograms(self, items, source, cond, groups, having, order) -> str:
-        """Counts by (group, value) first, so that no group's rows are gathered in one place, only its distinct values."""
-        wanted, self.s.pending_histograms = self.s.pending_histograms, []
+    def _with_parts(self, scope: Scope, items, source, cond, groups, having, order) -> str:
+        """Histograms and positions (ARGMIN, ARGMAX) of groups, each by aggregations of its own that are joined by group."""
+        wanted, self.s.pending_parts = self.s.pending_parts, []
         keys = [f"k{i}" for i in range(len(groups))]
         k_as = "".join(f"{g} AS {k}, " for g, k in zip(groups, keys, strict=True))
-        plain = [(x, n) for x, n in items if "__histogram_" not in x]
+        plain = [(x, n) for x, n in items if "__part_" not in x]
         by = f" GROUP BY {', '.join(groups)}" if groups else ""
+        late = having if having and "__part_" in having else None
         cols = ", ".join(f"{x} AS {quote(n)}" for x, n in plain) or "count(*) AS __n"
-        base = f"(SELECT {k_as}{cols}{source}{cond}{by}{' HAVING ' + having if having else ''}) AS b"
-        for i, x in wanted:
-            inner = f"SELECT {k_as}{x} AS v, count(*) AS c{source}{cond}{by + ', ' if groups else ' GROUP BY '}{x}"
-            k_list = "".join(f"{k}, " for k in keys)
-            hist = f"SELECT {k_list}sort_array(collect_list(named_struct('value', v, 'count', c))) AS h FROM ({inner}) WHERE v IS NOT NULL"
-            hist += f" GROUP BY {', '.join(keys)}" if keys else ""
+        base = f"(SELECT {k_as}{cols}{source}{cond}{by}{' HAVING ' + having if having and not late else ''}) AS b"
+        for kind, i, x in wanted:
+            sql = self._histogram(x, source, cond, groups, keys, k_as) if kind == "HISTOGRAM" else self._position(kind, x, scope, source, cond, keys, k_as)
             on = " AND ".join(f"b.{k} <=> h{i}.{k}" for k in keys) or "TRUE"
-            base += f" LEFT JOIN ({hist}) AS h{i} ON {on}"
-        out = []
-        for x, n in items:
-            i = next((i for i, _ in wanted if x == f"first(__histogram_{i})"), None)
-            out.append(f"h{i}.h AS {quote(n)}" if i is not None else f"b.{quote(n)}")
-        return f"SELECT {', '.join(out)} FROM {base}" + (f" ORDER BY {', '.join(order)}" if order else "")
+            base += f" LEFT JOIN ({sql}) AS h{i} ON {on}"
+
+        def placed(x: str) -> str:
+            for _, i, _ in wanted:
+                x = x.replace(f"first(__part_{i})", f"h{i}.h")
+            return x
+
+        out = [f"{placed(x)} AS {quote(n)}" if "__part_" in x else f"b.{quote(n)}" for x, n in items]
+        tail = f" WHERE {placed(late)}" if late else ""
+        return f"SELECT {', '.join(out)} FROM {base}{tail}" + (f" ORDER BY {', '.join(map(placed, order))}" if order else "")
+
+    def _histogram(self, x: str, source: str, cond: str, groups: list[str], keys: list[str], k_as: str) -> str:
+        """Counts by (group, value) first, so that no group's rows are gathered in one place, only its distinct values."""
+        inner = f"SELECT {k_as}{x} AS v, count(*) AS c{source}{cond} GROUP BY {', '.join([*groups, x])}"
+        k_list = "".join(f"{k}, " for k in keys)
+        hist = f"SELECT {k_list}sort_array(collect_list(named_struct('value', v, 'count', c))) AS h FROM ({inner}) WHERE v IS NOT NULL"
+        return hist + (f" GROUP BY {', '.join(keys)}" if keys else "")
+
+    def _position(self, kind: str, x: str, scope: Scope, source: str, cond: str, keys: list[str], k_as: str) -> str:
+        """The place of the least (or greatest) value's first row in its group, in order of the source's key, from 0.
+
+        No group is put in order: the extreme is found, then the first key that has it, then the keys before that one are counted.
+        """
+        if len(scope.rels) > 1:
+            raise SyntaxProblem("ARGMIN and ARGMAX in groups take one source")
+        r = scope.rels[0]
+        key = ", ".join(f"{r.alias}.{quote(f.name)}" for f in ([r.column(r.key)] if r.key else r.schema))
+        rows = f"(SELECT {k_as}{x} AS x, struct({key}) AS o{source}{cond})"
+        k_list, s_list, by = "".join(f"{k}, " for k in keys), "".join(f"s.{k}, " for k in keys), f" GROUP BY {', '.join(f's.{k}' for k in keys)}" if keys else ""
+        on = lambda t_: "".join(f"s.{k} <=> {t_}.{k} AND " for k in keys)
+        best = f"SELECT {k_list}{'min' if kind == 'ARGMIN' else 'max'}(x) AS v FROM {rows} AS s{f' GROUP BY {k_list[:-2]}' if keys else ''}"
+        first = f"SELECT {s_list}min(s.o) AS w FROM {rows} AS s JOIN ({best}) AS m ON {on('m')}s.x = m.v{by}"
+        return f"SELECT {s_list}CAST(count_if(s.o < f.w) AS INT) AS h FROM {rows} AS s JOIN ({first}) AS f ON {on('f')}f.w IS NOT NULL{by}"
 
     # -- sources
 
@@ -299,7 +308,7 @@ class Planner:
             on = " AND ".join(conds)
         elif n.on is not None:
             scope = Scope(self.s, rels, f"{lsql} CROSS JOIN {rsql}", outer, merged)
-            lsql, on = self._exploded(n.on, scope, left, right, lsql)
+            lsql, rsql, on = self._exploded(n, scope, left, right, lsql, rsql)
             if scope.extra:
                 raise SyntaxProblem("ON takes no properties behind references; join their class")
         else:
@@ -311,19 +320,34 @@ class Planner:
         kind = {"INNER": "JOIN", "CROSS": "JOIN", "LEFT": "LEFT JOIN", "RIGHT": "RIGHT JOIN", "FULL": "FULL JOIN", "SEMI": "LEFT SEMI JOIN", "ANTI": "LEFT ANTI JOIN"}[n.kind]
         return (left if n.kind in ("SEMI", "ANTI") else rels), f"{lsql} {kind} {rsql} ON {on}", merged
 
-    def _exploded(self, on: t.Node, scope: Scope, left: list[Rel], right: list[Rel], lsql: str) -> tuple[str, str]:
-        """An equality of a collection with a value joins each element: that side's elements become the key of a lookup."""
+    def _exploded(self, n: t.Join, scope: Scope, left: list[Rel], right: list[Rel], lsql: str, rsql: str) -> tuple[str, str, str]:
+        """An equality of a collection with a value joins each distinct element: the elements become rows of their side, with the element as join key.
+
+        A row meets another at most once so. Where rows without a partner have to stay, or the left side's rows must not multiply,
+        the collection is tested as a whole instead.
+        """
         r = Resolver(self.s, scope, self.query)
         parts = []
-        for c in self._conjuncts(on):
+        inner = n.kind in ("INNER", "CROSS")
+        for c in self._conjuncts(n.on):
             if isinstance(c, t.Binary) and c.op == "=" and not c.quantifier:
                 a, b = r.typed(c.a), r.typed(c.b)
                 if a.array != b.array:
-                    coll, one = (a, b) if a.array else (b, a)
-                    parts.append(f"array_contains({coll.sql}, {one.sql})")
+                    (coll, node), one = ((a, c.a), b) if a.array else ((b, c.b), a)
+                    got = scope.find(node.parts) if isinstance(node, t.Name) else None
+                    e = fresh("e")
+                    explode = f"LATERAL explode(array_distinct({coll.sql})) AS {e}(k)"
+                    if got and got[0] in left and inner:
+                        lsql = f"{lsql} JOIN {explode}"
+                        parts.append(f"{e}.k = {one.sql}")
+                    elif got and got[0] in right and n.kind in ("INNER", "CROSS", "LEFT", "SEMI", "ANTI"):
+                        rsql = f"({rsql} JOIN {explode})"
+                        parts.append(f"{e}.k = {one.sql}")
+                    else:
+                        parts.append(f"array_contains({coll.sql}, {one.sql})")
                     continue
             parts.append(r.condition(c))
-        return lsql, " AND ".join(parts)
+        return lsql, rsql, " AND ".join(parts)
 
     def _conjuncts(self, n: t.Node) -> list[t.Node]:
         if isinstance(n, t.Binary) and n.op == "AND":

@@ -66,7 +66,7 @@ class Session:
         self.params: dict = {}
         self.memo: dict = {}
         self.out_units: dict[str, str] = {}
-        self.pending_histograms: list[tuple[int, str]] = []
+        self.pending_parts: list[tuple[str, int, str]] = []
         self.operators: dict[str, list[Callable]] = {}
         self.functions: dict[str, tuple[str, T.DataType | None]] = {}
         self.services: dict[str, object] = {}
@@ -76,7 +76,7 @@ class Session:
         self.listeners: list[Callable] = []
         self.show_deleted = False
         self._whole: tuple[str, T.StructType] | None = None
-        self._n_histograms = 0
+        self._n_parts = 0
         prepare(spark)
         if store is not None:
             store.attach(self)
@@ -158,13 +158,14 @@ class Session:
         finally:
             self.params = before
 
-    def histogram(self, sql: str) -> int:
-        for i, x in self.pending_histograms:
-            if x == sql:
+    def part(self, kind: str, sql: str) -> int:
+        """The number under which a query's histogram or position is worked out."""
+        for k, i, x in self.pending_parts:
+            if (k, x) == (kind, sql):
                 return i
-        self._n_histograms += 1
-        self.pending_histograms.append((self._n_histograms, sql))
-        return self._n_histograms
+        self._n_parts += 1
+        self.pending_parts.append((kind, self._n_parts, sql))
+        return self._n_parts
 
     # -- running
 
@@ -182,7 +183,7 @@ class Session:
                 return self.run(s.body, limit, skip)
         if isinstance(s, (t.Select, t.SetOp)):
             self.memo = {}
-            self.pending_histograms = []
+            self.pending_parts = []
             df = self.planner.frame(s, limit, skip)
             if any(self.trace.values()):
                 self.plans.append(df._jdf.queryExecution().toString())
@@ -384,17 +385,24 @@ class Session:
     # -- the whole store, and who may read
 
     def whole_store(self) -> tuple[str, T.StructType]:
-        """All tables with a key as one: ``pin_id``, ``class_name`` and the union of their columns."""
+        """All tables as one: ``pin_id`` (null in tables without a key), ``class_name`` and the union of their columns; columns of one name
+        whose types differ are text. Each table's rows are those that this identity may read."""
         names = sorted(set(self.catalog.loaders) | set(self.catalog.tables))
-        tables = [x for n in names if (x := self.catalog.table(n)) is not None and x.key]
+        tables = [x for n in names if (x := self.catalog.table(n)) is not None]
         if self._whole is None or self._whole[0] not in {v.name for v in self.spark.catalog.listTables() if v.isTemporary}:
+            kinds: dict[str, set[str]] = {}
+            for x in tables:
+                for f in x.schema:
+                    kinds.setdefault(f.name.lower(), set()).add(f.dataType.simpleString())
             df = None
             for x in tables:
-                one = self.spark.table(x.view).withColumn("class_name", F.lit(x.name))
-                one = one.withColumn("pin_id", F.col(x.key).cast("long")) if x.key != "pin_id" else one
+                one = self.spark.sql(self.guard(x)) if self.guard(x) else self.spark.table(x.view)
+                one = one.select(*[F.col(f"`{c}`").cast("string") if len(kinds[c.lower()]) > 1 and c != x.key else F.col(f"`{c}`") for c in one.columns])
+                key = F.col(x.key).cast("long") if x.key else F.lit(None).cast("long")
+                one = one.withColumn("class_name", F.lit(x.name)).withColumn("pin_id", key)
                 df = one if df is None else df.unionByName(one, allowMissingColumns=True)
             if df is None:
-                raise LookupError("no table has a key")
+                raise LookupError("there are no tables")
             view = fresh("all")
             df.createOrReplaceTempView(view)
             self._whole = (view, df.schema)

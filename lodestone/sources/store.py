@@ -13,6 +13,7 @@ import datetime
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,7 @@ class Files:
 
     def __init__(self, spark: SparkSession):
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.gateway = spark.sparkContext._gateway
 
     def _path(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -56,16 +58,36 @@ class Files:
             stream.close()
 
     def write_new(self, path: str, text: str) -> bool:
-        """False if the file is there already; the file appears whole."""
+        """False if the file is there already; of several writers one succeeds, and the file appears whole.
+
+        File systems rename a finished file to a name that must not exist; object stores, which show an object only once it is complete, create it
+        on that condition.
+        """
         p, fs = self._path(path)
-        tmp, _ = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
-        stream = fs.create(tmp, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if fs.exists(p) or not fs.rename(tmp, p):
-            fs.delete(tmp, False)
+        data = bytearray(text.encode())
+        try:
+            if fs.getScheme() not in ("file", "hdfs", "viewfs"):
+                stream = fs.create(p, False)
+                stream.write(data)
+                stream.close()
+                return True
+            tmp, _ = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
+            stream = fs.create(tmp, False)
+            stream.write(data)
+            stream.close()
+            rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+            how = self.gateway.new_array(rename, 1)
+            how[0] = rename.NONE
+            try:
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf).rename(tmp, p, how)
+            finally:
+                if fs.exists(tmp):
+                    fs.delete(tmp, False)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.toString():
+                raise
             return False
-        return True
 
     def names(self, path: str) -> list[str]:
         p, fs = self._path(path)
@@ -449,14 +471,13 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(self._write(df, "_old", "old"))
 
     def modify(self, name: str, pin_id: int, values: dict, stamp: int | None = None) -> None:
-        """Set properties of one row; with ``stamp``, only if nobody has changed it since."""
-        got = self.rows(name).where(F.col("pin_id") == pin_id).select("stamp").first()
-        if got is None:
-            raise LookupError(f"no row {pin_id} in {name}")
-        if stamp is not None and got["stamp"] != stamp:
-            raise Conflict(f"row {pin_id} has changed")
+        """Set properties of one row; with ``stamp``, only if nobody has changed it since: the update itself asks for the stamp, and the commit for the state that it read."""
         changes = [t.Change("=", k, self.session.as_node(v)) for k, v in values.items()]
-        self.run(self.session, t.Update(t.Source([t.ClassRef(name)], ids=[t.Lit(pin_id, "pid")]), changes))
+        where = None if stamp is None else t.Binary("=", t.Name(["stamp"]), self.session.as_node(stamp))
+        if not self.run(self.session, t.Update(t.Source([t.ClassRef(name)], ids=[t.Lit(pin_id, "pid")]), changes, where)):
+            if self.rows(name).where(F.col("pin_id") == pin_id).isEmpty():
+                raise LookupError(f"no row {pin_id} in {name}")
+            raise Conflict(f"row {pin_id} has changed")
 
     # -- delete
 

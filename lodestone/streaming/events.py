@@ -77,7 +77,7 @@ def changes(session, table: str, old: DataFrame | None, new: DataFrame | None, k
 def publish(session, store, table: str, old: DataFrame | None, new: DataFrame | None, names: set[str]) -> None:
     """Runs what the changes set off, in the order enter, update, leave. An error undoes the statement."""
     listeners = [x for x in session.listeners if x[0] is None or x[0].lower() in {c.name.lower() for c in relevant(session, table)}]
-    acting = [c for c in relevant(session, table) if any(c.actions.values()) or isinstance(c.window, int)]
+    acting = [c for c in relevant(session, table) if any(c.actions.values())]
     if not acting and not listeners:
         return
     found = changes(session, table, old, new)
@@ -87,12 +87,10 @@ def publish(session, store, table: str, old: DataFrame | None, new: DataFrame |
         if rows is None:
             continue
         for c in acting:
-            if kind == "enter" and isinstance(c.window, int):
-                pass  # a window by count is a view: see operators.windows
             for action in c.actions.get(kind, ()):
                 hit = found.where((F.col("class") == c.name) & (F.col("kind") == kind)).select("pin_id")
                 if not hit.isEmpty():
-                    act(session, store, table, action, rows.join(hit, "pin_id", "left_semi"), names)
+                    act(session, store, table, action, rows.join(hit, "pin_id", "left_semi"), names, {"kind": kind, "class": c.name})
         for cls, wanted, f in listeners:
             if wanted is None or wanted == kind:
                 hit = found.where(F.col("kind") == kind)
@@ -106,50 +104,61 @@ def listen(session, f: Callable[[str, DataFrame], None], cls: str | None = None,
     session.listeners.append((cls, kind, f))
 
 
-def act(session, store, table: str, action: t.Node, rows: DataFrame, names: set[str]) -> None:
-    """One statement for all rows that met the event."""
+def act(session, store, table: str, action: t.Node, rows: DataFrame, names: set[str], event: dict[str, str] | None = None) -> None:
+    """One statement for all rows that met the event: ``@self`` is each of them, ``@event`` has the event's ``kind`` and ``class``.
+
+    ``@ctx`` and ``@auto`` are there but hold nothing: their properties are missing.
+    """
+    on = lambda n, alias: _on(n, alias, event or {})
     if isinstance(action, t.Update) and isinstance(action.source.what, t.Self):
-        s = t.Update(t.Source([t.ClassRef(table)]), _on(action.changes, "x"), _on(action.where, "x"), action.raw)
+        s = t.Update(t.Source([t.ClassRef(table)]), on(action.changes, "x"), on(action.where, "x"), action.raw)
         _, more = store._update(session, s, rows.select("pin_id"))
         names |= set(more)
     elif isinstance(action, t.Delete) and isinstance(action.source.what, t.Self):
-        s = t.Delete(action.kind, t.Source([t.ClassRef(table)]), _on(action.where, "x"))
+        s = t.Delete(action.kind, t.Source([t.ClassRef(table)]), on(action.where, "x"))
         _, more = store._remove(session, s, rows.select("pin_id"))
         names |= set(more)
     elif isinstance(action, t.Insert):
         view = fresh("a")
         rows.createOrReplaceTempView(view)
-        r = Resolver(session, Scope(session, [Rel("self", rows.schema, "pin_id", {}, {}, "self")], f"{view} AS self"), session.planner.query)
+        r = Resolver(session, Scope(session, [Rel("self", rows.schema, "pin_id" if "pin_id" in rows.columns else None, {}, {}, "self")], f"{view} AS self"), session.planner.query)
         target = store._root(session, action.into[0][0]) if action.into else table if action.copy_self else "pins"
         from lodestone.sources.store import SYSTEM
 
         for row in action.rows:
             if action.copy_self:  # the row itself with some properties replaced
-                new = {k: r.sql(_on(v, "self")) for k, v in row.fields}
+                new = {k: r.sql(on(v, "self")) for k, v in row.fields}
                 cols = [c for c in rows.columns if c not in SYSTEM and c not in new]
                 df = session.spark.sql(f"SELECT {', '.join([*[f'self.{quote(c)}' for c in cols], *[f'{v} AS {quote(k)}' for k, v in new.items()]])} FROM {view} AS self")
                 store._insert_frame(session, target, df, [], None, names)
                 continue
-            items = ", ".join(f"{r.sql(_on(v, 'self'))} AS {quote(k)}" for k, v in row.fields)
+            items = ", ".join(f"{r.sql(on(v, 'self'))} AS {quote(k)}" for k, v in row.fields)
             df = session.spark.sql(f"SELECT {items} FROM {view} AS self")
             store._insert_frame(session, target, df, [c for c, _ in action.into], action.into[0][1] if action.into else None, names)
     elif isinstance(action, (t.Update, t.Delete)):
+        action = on(action, None)
         _, more = store._update(session, action) if isinstance(action, t.Update) else store._remove(session, action)
         names |= set(more)
     else:
         session.run(action)
 
 
-def _on(n, alias: str):
-    """``@self.p`` (also ``@ctx``, ``@event`` and ``@auto``) as a property of the rows."""
+def _on(n, alias: str | None, event: dict[str, str]):
+    """``@self.p`` as a property of the rows (if they have an alias), ``@event.p`` as a constant, properties of ``@ctx`` and ``@auto`` as missing."""
     if isinstance(n, t.PathOf) and isinstance(n.x, t.Self):
-        return t.Name([alias, *[s.props[0] for s in n.steps]])
-    if isinstance(n, (t.Self,)):
+        if n.x.which == "event":
+            v = event.get(n.steps[0].props[0])
+            return t.Lit(v, "string") if v is not None else t.Lit(None, "null")
+        if n.x.which in ("ctx", "auto"):
+            return t.Lit(None, "null")
+        if alias is not None:
+            return t.Name([alias, *[s.props[0] for s in n.steps]])
+    if isinstance(n, t.Self) and alias is not None:
         return t.Name([alias, "pin_id"])
     if isinstance(n, t.Node):
-        return type(n)(**{k: _on(v, alias) for k, v in vars(n).items()})
+        return type(n)(**{k: _on(v, alias, event) for k, v in vars(n).items()})
     if isinstance(n, list):
-        return [_on(v, alias) for v in n]
+        return [_on(v, alias, event) for v in n]
     if isinstance(n, tuple):
-        return tuple(_on(v, alias) for v in n)
+        return tuple(_on(v, alias, event) for v in n)
     return n

@@ -57,14 +57,18 @@ def last_n(stream: DataFrame, n: int, key: str, ts: str, value: str) -> DataFram
     return out.withColumnRenamed("k", key)
 
 
-def start_timer(session, name: str, on_error: Callable[[Exception], None] | None = None) -> StreamingQuery:
-    """Starts a declared timer: its statements run once for each interval."""
+def start_timer(session, name: str, on_error: Callable[[Exception], None] | None = None, checkpoint: str | None = None) -> StreamingQuery:
+    """Starts a declared timer: its statements run once for each interval. With a checkpoint folder it goes on after a restart where it was, and a tick
+    whose statements did not end runs again. A dropped timer's statements no longer run."""
     from lodestone.streaming.machines import _seconds
 
-    c = session.catalog.others["TIMER"][name.lower()]
+    timers = session.catalog.others["TIMER"]
+    c = timers[name.lower()]
     ticks = session.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def tick(_rows: DataFrame, _epoch: int) -> None:
+        if timers.get(name.lower()) is not c:
+            return
         for s in c.body:
             try:
                 session.run(s)
@@ -73,7 +77,8 @@ def start_timer(session, name: str, on_error: Callable[[Exception], None] | None
                     raise
                 on_error(e)
 
-    return ticks.writeStream.foreachBatch(tick).trigger(processingTime=f"{_seconds(c.extra['interval'].value)} seconds").start()
+    out = ticks.writeStream.foreachBatch(tick).trigger(processingTime=f"{_seconds(c.extra['interval'].value)} seconds")
+    return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
 
 
 def on_members(session, stream: DataFrame, cls: str, f: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
