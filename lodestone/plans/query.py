@@ -283,7 +283,7 @@ class Planner:
         on = lambda t_: "".join(f"s.{k} <=> {t_}.{k} AND " for k in keys)
         best = f"SELECT {k_list}{'min' if kind == 'ARGMIN' else 'max'}(x) AS v FROM {rows} AS s{f' GROUP BY {k_list[:-2]}' if keys else ''}"
         first = f"SELECT {s_list}min(s.o) AS w FROM {rows} AS s JOIN ({best}) AS m ON {on('m')}s.x = m.v{by}"
-        return f"SELECT {s_list}CAST(count_if(s.o < f.w) AS INT) AS h FROM {rows} AS s JOIN ({first}) AS f ON {on('f')}f.w IS NOT NULL{by}"
+        return f"SELECT {s_list}CAST(count_if(s.o < f.w) AS INT) AS h FROM {rows} AS s JOIN ({first}) AS f ON {on('f')}f.w IS NOT NULL{by or ' HAVING count(*) > 0'}"
 
     # -- sources
 

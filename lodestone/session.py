@@ -21,7 +21,7 @@ from lodestone.lang.lexer import SyntaxProblem
 from lodestone.lang.parser import parse, parse_expression
 from lodestone.plans.query import Planner
 from lodestone.plans.resolve import X
-from lodestone.sources.catalog import Catalog, ClassDef, Table, fresh
+from lodestone.sources.catalog import Catalog, ClassDef, Table, fresh, shared_dir
 
 #: Key and reference properties of well-known tables.
 KNOWN_KEYS = {
@@ -76,6 +76,7 @@ class Session:
         self.listeners: list[Callable] = []
         self.show_deleted = False
         self._whole: tuple[str, T.StructType] | None = None
+        self.text_indexes: dict[tuple[str, str], str] = {}  #: (table, property) -> view of the index
         self._n_parts = 0
         prepare(spark)
         if store is not None:
@@ -86,8 +87,28 @@ class Session:
     def register(self, name: str, df: DataFrame, key: str | None = None, refs: dict[str, str] | None = None) -> Table:
         """Name a DataFrame; ``refs``: reference property -> name of the table whose key it holds."""
         self._whole = None
+        self.text_indexes = {k: v for k, v in self.text_indexes.items() if k[0] != name.lower()}
         return self.catalog.add(name, df, key, refs)
 
+    def index_text(self, name: str, *props: str, path: str | None = None) -> str:
+        """Build (or build anew) the inverted index of text properties of a table with a key; MATCH on these properties then looks words up instead of
+        reading texts. The index is written in order of words to ``path``, or to the shared folder. It goes when the table changes."""
+        import uuid
+
+        from lodestone.operators import text_search
+
+        table = self.catalog.root(name)
+        if table.key is None:
+            raise LookupError(f"{name} has no key")
+        props = props or tuple(f.name for f in table.schema if isinstance(f.dataType, T.StringType))
+        path = path or f"{shared_dir(self.spark)}/words-{uuid.uuid4().hex}"
+        found = text_search.index(self.spark.table(table.view), table.key, *props)
+        found.sort("word").write.mode("overwrite").parquet(path)
+        view = fresh("w")
+        self.spark.read.schema(found.schema).parquet(path).createOrReplaceTempView(view)
+        self.text_indexes |= {(table.name.lower(), p.lower()): view for p in props}
+        return path
+
     def register_parquet(self, folder: str, names: list[str] | None = None) -> Session:
         """Name the parquet tables of a folder; each is opened when a query first names it."""
         for n in names or KNOWN_KEYS:
@@ -206,13 +227,26 @@ class Session:
             raise SyntaxProblem(f"{type(s).__name__} is no statement")
         return None
 
-    def execute_json(self, script: str, params: dict | None = None) -> str:
-        """All results as JSON: an array of rows, or for several statements an array of those."""
+    def json(self, query: str, params: dict | None = None) -> DataFrame:
+        """The rows of a query as JSON texts (value), made and left in the executors."""
+        return self.execute(query, params).select(F.to_json(F.struct("*")).alias("value"))
+
+    def execute_json(self, script: str, params: dict | None = None, most: int | None = None) -> str:
+        """All results as one JSON text: an array of rows, or for several statements an array of those.
+
+        Rows come to the driver a partition at a time; a result of more than ``most`` rows is an error then, as one text has to fit into memory. json()
+        gives results of any size.
+        """
         results = []
         with self.bound(params or {}):
             for s in parse(script):
                 if (df := self.run(s)) is not None:
-                    results.append("[" + ",".join(df.toJSON().collect()) + "]")
+                    texts = []
+                    for row in df.select(F.to_json(F.struct("*")).alias("value")).toLocalIterator():
+                        if most is not None and len(texts) == most:
+                            raise ValueError(f"the result has more than {most} rows")
+                        texts.append(row["value"])
+                    results.append("[" + ",".join(texts) + "]")
         return results[0] if len(results) == 1 else "[" + ",".join(results) + "]"
 
     def value_json(self, expression: str) -> str:

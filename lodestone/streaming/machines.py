@@ -7,6 +7,8 @@ Structured Streaming.
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestone.lang import tree as t
 from lodestone.operators.paths import checkpoint_dir
 from lodestone.plans.resolve import Rel, Resolver, Scope
-from lodestone.sources.catalog import fresh
+from lodestone.sources.catalog import fresh, shared_dir
 
 
 @dataclass
@@ -214,6 +216,17 @@ def _act(session, rows: DataFrame, table: str, work: list[tuple[str, list[t.Node
     store._end(sorted(names))
 
 
+@contextlib.contextmanager
+def _staged(session, rows: DataFrame) -> Iterator[DataFrame]:
+    """A micro-batch as a table of the session itself, written once, so that all its actions see the same rows."""
+    path = f"{shared_dir(session.spark)}/batch-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    try:
+        yield session.spark.read.schema(rows.schema).parquet(path)
+    finally:
+        session.store.files.remove(path)
+
+
 def start_machine(session, name: str, events: DataFrame, key: str, ts: str, table: str, checkpoint: str, kind: str | None = None, **trigger) -> StreamingQuery:
     """Lets a machine that START has started follow a stream, and runs its actions after each micro-batch. The checkpoint keeps its states over restarts."""
     c = session.catalog.others.get("FSM", {}).get(name.lower())
@@ -222,11 +235,8 @@ def start_machine(session, name: str, events: DataFrame, key: str, ts: str, tabl
     steps = run_stream(session, name, events, key, ts, table, kind)
 
     def batch(rows: DataFrame, _number: int) -> None:
-        rows = rows.persist()
-        try:
-            run_actions(session, name, rows, table)
-        finally:
-            rows.unpersist()
+        with _staged(session, rows) as own:
+            run_actions(session, name, own, table)
 
     return steps.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -254,5 +264,8 @@ def start_listener(session, listener: str, handler: str, table: str, checkpoint:
     """Runs an event handler's actions for what a listener (or communication object) with a streaming source receives."""
     from lodestone.sources import services
 
-    rows = services.read(session, listener)
-    return rows.writeStream.foreachBatch(lambda part, _number: handle(session, handler, part, table, kind)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    def batch(rows: DataFrame, _number: int) -> None:
+        with _staged(session, rows) as own:
+            handle(session, handler, own, table, kind)
+
+    return services.read(session, listener).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -118,3 +118,93 @@ def test_closure(spark):
     got = {(r["start"], r["node"]) for r in paths.closure(edges, spark.createDataFrame([(1,)], "start long"), 2).collect()}
     assert got == {(1, 3), (1, 4)}
     assert paths.closure(edges, spark.createDataFrame([], "start long")).count() == 0
+
+
+def test_machine_of_a_hot_key_spans_tasks(spark, s):
+    """One user has nearly all events; their order over tasks gives the steps of a plain loop."""
+    import random
+
+    r = random.Random(2)
+    rows = [(i, "hot" if r.random() < 0.9 else f"u{r.randrange(5)}", r.choice(["view", "buy", "other"]), float(r.randrange(300)), f"2024-01-01 {i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}") for i in range(3000)]
+    rows += [(3000, None, "view", 1.0, "2024-01-01 10:00:00"), (3001, None, "buy", 200.0, "2024-01-01 10:00:01")]
+    df = spark.createDataFrame(rows, "event_id int, user string, event_type string, value double, at string").withColumn("ts", F.to_timestamp("at")).repartition(4)
+    session = s[0]
+    session.execute("""CREATE CLASS others AS SELECT * FROM events WHERE event_type = 'other';
+        CREATE FSM three AS {a:{t={WHEN views IS INSERTED -> b}}, b:{t={WHEN buys IS INSERTED AND value > 100 -> c, WHEN others IS INSERTED -> a}}, c:{t={WHEN views IS INSERTED -> a}}}""")
+    got = machines.run_batch(session, "three", df, "user", "ts", "events")
+    assert set(df.columns) <= set(got.columns)
+    at, want = {}, {}
+    for i, user, kind, value, _ in rows:
+        was = at.get(user, "a")
+        now = {("a", "view"): "b", ("b", "other"): "a", ("c", "view"): "a"}.get((was, kind), was)
+        now = "c" if was == "b" and kind == "buy" and value > 100 else now
+        at[user], want[i] = now, (was, now)
+    assert {x["event_id"]: (x["was"], x["now"]) for x in got.collect()} == want
+    assert machines.run_batch(session, "three", df.limit(0), "user", "ts", "events").count() == 0
+
+
+def test_actions_of_machines_handlers_and_listeners(spark, s):
+    from lodestone.sources.store import Store
+
+    session, stream, df, tmp = s
+    session.store = Store(spark, f"file://{tmp}/store")
+    session.store.attach(session)
+    session.execute("""CREATE FSM note AS {idle:{t={WHEN views IS INSERTED -> looking}}, looking:{t={WHEN buys IS INSERTED -> {INSERT INTO seen (what, how) VALUES (@self.event_id, 'machine')} -> idle}}};
+        CREATE EVENT HANDLER n AS {WHEN buys IS INSERTED -> {INSERT INTO seen (what, how) VALUES (@self.event_id, 'handler')}}""")
+    with pytest.raises(RuntimeError):
+        machines.start_machine(session, "note", stream, "user", "ts", "events", f"{tmp}/c0")
+    session.execute("START note")
+    machines.start_machine(session, "note", stream, "user", "ts", "events", f"{tmp}/c1").awaitTermination()
+    seen = lambda: sorted((r["how"], r["what"]) for r in session.execute("SELECT what, how FROM seen").collect())
+    assert seen() == [("machine", 2)]
+    machines.start_machine(session, "note", stream, "user", "ts", "events", f"{tmp}/c1").awaitTermination()  # goes on where it was
+    assert seen() == [("machine", 2)]
+    machines.handle(session, "n", df, "events")
+    assert seen() == [("handler", 2), ("handler", 3), ("machine", 2)]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    session.execute(f"CREATE LISTENER ear ON '{tmp}/in' AS {{service='file', format='parquet', stream=TRUE, file_schema='{schema}'}}")
+    machines.start_listener(session, "ear", "n", "events", f"{tmp}/c2").awaitTermination()
+    assert seen() == [("handler", 2)] * 2 + [("handler", 3)] * 2 + [("machine", 2)]
+    with pytest.raises(LookupError):
+        session.execute("START nothing")
+
+
+def test_json_results(s):
+    session = s[0]
+    assert sorted(r["value"] for r in session.json("SELECT event_id FROM events WHERE event_id < 3").collect()) == ['{"event_id":1}', '{"event_id":2}']
+    assert session.execute_json("SELECT event_id FROM events WHERE event_id < 3 ORDER BY event_id", most=2) == '[{"event_id":1},{"event_id":2}]'
+    with pytest.raises(ValueError):
+        session.execute_json("SELECT event_id FROM events", most=4)
+
+
+def test_text_index_answers_match(spark):
+    texts = ["The ringing bells", "a bell rang", "nothing here", "bells and whistles", None, "ring the bell", "the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for flags in ({}, {"all_words": True}, {"filter_stop_words": True}):
+        s = Session(spark, **flags)
+        s.register("d", df, "id")
+        asked = ["'ring bell'", "'bells', 'ringing'", "'\"ring the bell\"'", "'the'", "'nothing'", "'whistle'"]
+        plain = [sorted(r["id"] for r in s.execute(f"SELECT id FROM d MATCH (t) AGAINST ({q})").collect()) for q in asked]
+        assert "w.word" not in s.sql("SELECT id FROM d MATCH (t) AGAINST ('ring')")
+        s.index_text("d", "t")
+        assert "w.word" in s.sql("SELECT id FROM d MATCH (t) AGAINST ('ring')")
+        assert [sorted(r["id"] for r in s.execute(f"SELECT id FROM d MATCH (t) AGAINST ({q})").collect()) for q in asked] == plain
+        s.register("d", df.where("id < 3"), "id")  # another table has no index yet
+        assert "w.word" not in s.sql("SELECT id FROM d MATCH (t) AGAINST ('ring')")
+
+
+def test_timers_stop_when_dropped(spark, s):
+    import time
+
+    session, _, _, tmp = s
+    ticks = []
+    session.register_function("tick", lambda x: x, "bigint")
+    session.execute("CREATE TIMER t INTERVAL '0:0:1' AS ${SELECT 1}")
+    run = session.run
+    session.run = lambda x, *a: (ticks.append(x), run(x, *a))[1]
+    q = streams.start_timer(session, "t", checkpoint=f"{tmp}/timer")
+    end = time.time() + 40
+    while not ticks and time.time() < end:
+        time.sleep(0.5)
+    q.stop()
+    assert ticks and (tmp / "timer" / "offsets").exists()
