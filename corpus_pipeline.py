@@ -12,14 +12,13 @@ texts, repeated rows and further columns are treated as the operators' docstring
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, langid, mixing, neardup, secrets
-from lodestone.llm.common import free, shared_dir, table
+from lodestone.llm.common import complete, cut, free, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +61,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix, after all stages."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The mix, after all stages.
+
+    With a ``folder``, each stage's table stays there under the stage's name, and a run that finds it complete goes on from it. Without one,
+    the tables are in the shared folder and go when the driver exits.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/lodestone-pipeline-{name}-{uuid.uuid4().hex}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        if folder is None:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            continue
+        path = f"{folder.rstrip('/')}/{k}-{name}"
+        if not complete(spark, path):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

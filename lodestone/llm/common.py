@@ -56,6 +56,12 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files behind a table that cut() made, once nothing reads it any more."""
     for f in {x.rpartition("/")[0] for x in df.inputFiles() if "/lodestone-" in x}:

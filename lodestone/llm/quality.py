@@ -78,6 +78,26 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - s[:, None], -50, 50)))
 
 
+def loss_gradient(w: np.ndarray, theta: np.ndarray, owner: np.ndarray, cells: np.ndarray, vals: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The penalised log-likelihood of the grades and its gradient by the feature weights and by ``theta``, the first threshold and the logarithms of the steps to the next ones.
+
+    Row ``owner[i]`` has the feature ``cells[i]`` with the value ``vals[i]``; ``weight`` is what each row counts.
+    """
+    f = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+    n, n_grades = len(grade), len(theta) + 1
+    s = np.bincount(owner, w[cells] * vals, minlength=n)
+    th = theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))])
+    edge = np.concatenate([[-np.inf], th, [np.inf]])
+    hi, lo = f(edge[grade + 1] - s), f(edge[grade] - s)
+    p = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = hi * (1 - hi), lo * (1 - lo)
+    gth = np.bincount(grade + 1, weight * dhi / p, minlength=n_grades + 1) - np.bincount(grade, weight * dlo / p, minlength=n_grades + 1)
+    back = np.cumsum(gth[1:-1][::-1])[::-1]
+    gs = weight * (dlo - dhi) / p
+    loss = float((weight * np.log(p)).sum() - l2 / 2 * (w**2).sum())
+    return loss, np.bincount(cells, gs[owner] * vals, minlength=len(w)) - l2 * w, np.concatenate([[back[0]], back[1:] * np.exp(theta[1:])])
+
+
 def fit(rows: list[np.ndarray], vals: list[np.ndarray], grade: np.ndarray, n_grades: int, epochs: int = 200, l2: float = 1e-4, rare: float = 3e-3, screen: float = 4.5) -> Model:
     """Penalised maximum likelihood by accelerated gradient steps over all rows; grades weigh alike. The same on every run."""
     n = len(rows)
@@ -104,19 +124,7 @@ def fit(rows: list[np.ndarray], vals: list[np.ndarray], grade: np.ndarray, n_gra
     # Every feature is scaled by its own curvature, but rare ones less, so that they move less than they seem to tell.
     scale = 1 / np.sqrt(np.bincount(cells, weight[owner] * vals_**2, minlength=len(used)) + rare)
     vals_ = vals_ * scale[cells]
-    f = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
-
-    def gradient(w: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = np.bincount(owner, w[cells] * vals_, minlength=n)
-        th = theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))])
-        edge = np.concatenate([[-np.inf], th, [np.inf]])
-        hi, lo = f(edge[grade + 1] - s), f(edge[grade] - s)
-        p = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        gth = np.bincount(grade + 1, weight * dhi / p, minlength=n_grades + 1) - np.bincount(grade, weight * dlo / p, minlength=n_grades + 1)
-        back = np.cumsum(gth[1:-1][::-1])[::-1]
-        gs = weight * (dlo - dhi) / p
-        return np.bincount(cells, gs[owner] * vals_, minlength=len(used)) - l2 * w, np.concatenate([[back[0]], back[1:] * np.exp(theta[1:])])
+    gradient = lambda w, theta: loss_gradient(w, theta, owner, cells, vals_, grade, weight, l2)[1:]
 
     # Step size: the curvature is at most that of the weighted squares of the rows, found by the power method.
     x = np.ones(len(used)) / np.sqrt(len(used))

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -611,3 +612,90 @@ def test_decontamination_of_very_short_items(spark):
     bench = spark.createDataFrame([(7, "only three words"), (8, "one"), (9, ""), (10, "...")], "item_id long, text string")
     assert {(x["doc_id"], x["item"]) for x in decontaminate.overlaps(df, bench).collect()} == {(0, 7), (2, 8)}
     assert {x["doc_id"] for x in decontaminate.decontaminate(df, bench).collect()} == {1, 3}
+
+
+def test_quality_gradient_and_fit():
+    """The gradient is the numeric one, the fit is where it is zero, and tails are those of the cumulative-link model."""
+    rng = np.random.default_rng(3)
+    n, n_cells, n_grades = 40, 7, 4
+    owner = np.repeat(np.arange(n), 3)
+    cells, vals = rng.integers(0, n_cells, 3 * n), rng.normal(size=3 * n)
+    grade, weight = rng.integers(0, n_grades, n), rng.random(n) / n
+    w, theta = rng.normal(size=n_cells), rng.normal(size=n_grades - 1)
+    value = lambda: quality.loss_gradient(w, theta, owner, cells, vals, grade, weight, 0.01)
+    _, gw, gt = value()
+    for x, g in ((w, gw), (theta, gt)):
+        for i in range(len(x)):
+            old, d = x[i], 1e-5
+            x[i] = old + d
+            up = value()[0]
+            x[i] = old - d
+            low = value()[0]
+            x[i] = old
+            assert abs((up - low) / (2 * d) - g[i]) < 1e-7
+    # By definition: P(grade > k) = 1 / (1 + exp(t_k - s)).
+    s = np.array([(w[cells[owner == i]] * vals[owner == i]).sum() for i in range(n)])
+    th = theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))])
+    above = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(th[None] - s[:, None])), np.zeros((n, 1))])
+    p = above[np.arange(n), grade] - above[np.arange(n), grade + 1]
+    assert math.isclose(value()[0], (weight * np.log(p)).sum() - 0.005 * (w**2).sum())
+    texts = [" ".join(random.Random(i).choices(WORDS, k=20)) + (" good fine" if i % 3 == 2 else " bad" if i % 3 == 0 else "") for i in range(300)]
+    got = [quality.features(t) for t in texts]
+    model = quality.fit([c for c, _ in got], [v for _, v in got], np.arange(300) % 3, 3, screen=4.0)
+    tails = model.tails(texts)
+    assert ((tails[:, 0] > 0.5) == (np.arange(300) % 3 > 0)).mean() > 0.99 and ((tails[:, 1] > 0.5) == (np.arange(300) % 3 > 1)).mean() > 0.99
+    assert (tails[:, 0] >= tails[:, 1]).all()
+
+
+def test_quality_labels_teach_once(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (1, 0, 0), (2, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert sorted((x["doc_id"], x["grade"]) for x in quality.ratings(docs, labels).collect()) == [(1, 1), (2, 0)]
+
+
+def test_language_of_held_out_texts(spark):
+    """Accuracy on texts that the model has not seen, of the given tables."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the tables")
+    docs = spark.read.parquet(path)
+    got = langid.predict(docs.withColumn("held", langid._held_out()), "text", langid.train_on_documents(docs)).where("held AND lang IS NOT NULL AND lang_pred <> 'und'").select("lang", "lang_pred").collect()
+    assert len(got) > 100 and sum(x["lang"] == x["lang_pred"] for x in got) >= 0.97 * len(got)
+
+
+def test_near_duplicate_recall(spark):
+    """Of pairs with a similarity of 0.8 or more, by brute force over all pairs, at least 0.99 lie in one class; here all of them."""
+    texts = []
+    for g in range(60):
+        base = prose(3000 + g, 250).split()
+        texts.append(" ".join(base))
+        for k in range(1, 6):
+            near = list(base)
+            for j in range(k):  # single edits, spread out: from far above 0.8 to below it
+                near[(43 * j + 7 * g) % 250] = f"edit{g}x{k}x{j}"
+            texts.append(" ".join(near))
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(df).collect()}
+    want = brute_classes(dict(enumerate(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if want[i] == want[j]]
+    assert len(pairs) > 100 and sum(got[i] == got[j] for i, j in pairs) == len(pairs)
+    assert not any(got[i] == got[j] and want[i] != want[j] for i in range(len(texts)) for j in range(i))
+
+
+def test_decontamination_recall(spark):
+    """Passages of items with up to three substitutions at random places of every window: those that a brute-force comparison finds are all found."""
+    r = random.Random(9)
+    items = {k: prose(7000 + k, r.randrange(11, 60)) for k in range(40)}
+    docs, planted = {}, 0
+    for i in range(160):
+        words = items[i % 40].split()
+        start = r.randrange(max(1, len(words) - 20))
+        part = words[start : start + r.randrange(11, 40)]
+        for j in r.sample(range(len(part)), min(len(part), r.randrange(4))):
+            part[j] = "swapped"
+        docs[i] = prose(i, 30) + " " + " ".join(part) + " " + prose(i + 500, 30)
+    df = spark.createDataFrame(rows(list(docs.values())), SCHEMA)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x["doc_id"], x["item"]) for x in decontaminate.overlaps(df, bench).collect()}
+    want = brute_overlaps(docs, items)
+    assert len(want) > 80 and got == want

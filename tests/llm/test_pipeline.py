@@ -45,6 +45,14 @@ def test_stages(spark, tmp_path):
     assert max(n.values()) <= 2 and set(n) <= kept[3]
     whole = Counter((x["doc_id"], x["text"]) for x in corpus_pipeline.run(spark, sf).collect())
     assert whole == Counter((x["doc_id"], x["text"]) for x in now.collect())
+    # A run that was stopped goes on from the tables that are complete.
+    folder = f"file://{sf}/stages"
+    assert whole == Counter((x["doc_id"], x["text"]) for x in corpus_pipeline.run(spark, sf, folder).collect())
+    (tmp_path / "stages" / "2-decontamination" / "_SUCCESS").unlink()
+    docs.limit(0).write.mode("overwrite").parquet(f"{sf}/stages/3-secret_masks")
+    assert corpus_pipeline.run(spark, sf, folder).count() == 0
+    (tmp_path / "stages" / "3-secret_masks" / "_SUCCESS").unlink()
+    assert whole == Counter((x["doc_id"], x["text"]) for x in corpus_pipeline.run(spark, sf, folder).collect())
 
 
 def test_empty_tables(spark, tmp_path):
