@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,13 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, label: str = "t") -> tuple[DataFrame, int]:
+    """cut(), and how many rows were written, which the same job counts."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there to its end."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -80,19 +87,17 @@ def _remove(spark: SparkSession, path: str) -> None:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge table by alternating large-star and small-star steps.
 
-    Returns (id, comp): every id that occurs in an edge, with the least id of its component. Each step is
-    two aggregations with map-side combining; no neighbourhood is ever collected.
+    Returns (id, comp): every id that occurs in an edge, with the least id of its component. Each round is
+    some aggregations with map-side combining; no neighbourhood is ever collected.
     """
-    e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    while not _stars(e):
+    e, n = cut_counted(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while n and not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         small = cut(small, "edges")
-        discard(large)
         discard(e)
         e = small
     roots = e.select(F.col("u").alias("id"), F.col("v").alias("comp"))

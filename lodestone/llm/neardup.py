@@ -8,7 +8,7 @@
    Comparisons count df exactly, over all documents.
 3. In each bucket every text is compared with the bucket's leader, so the comparisons are as many as the members. The leader is the
    text with the most company in all its buckets, which in a group of copies is one close to the original.
-   Where members of a bucket still belong to different classes, further members lead, four times as many in each round, until every pair
+   Where members of a bucket still belong to different classes, further members lead, eight times as many in each round, until every pair
    of a bucket lies in one class, has been compared, or can't be similar: a text shares with others at most its shingles that some
    other open text has as well. Pairs inside a class are never made.
 4. Links join classes where the weighted Jaccard similarity of the whole texts, by exact document frequencies, is at least ``threshold``. As a
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, cut, free, ship, table
+from lodestone.llm.common import components, cut, cut_counted, free, ship, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -373,30 +373,30 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         ends = doubt.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         links = links.unionByName(cut(_compare(doubt, weighed(ends), threshold).select("a", "b"), "links"))
     comp = components(links)
-    left, leaders = _open(member.where("n > 2 AND key <> lead").select("band", "key", "company"), comp), 2
-    if not left.isEmpty():
+    (left, n_left), leaders = _open(member.where("n > 2 AND key <> lead").select("band", "key", "company"), comp), 4
+    if n_left:
         left = left.join(_shares(left.select("key").distinct(), texts), "key").where(f"shared >= {least} * weight").drop("weight", "shared")
-        left = _open(left.select("band", "key", "company"), comp)
-    if not left.isEmpty():
+        left, n_left = _open(left.select("band", "key", "company"), comp)
+    if n_left:
         texts = weighed(left.select("key").distinct())
         left = left.join(_shares(left.select("key").distinct(), texts), "key").where(f"shared >= {threshold} * weight")
-        left = cut(left.join(one.select("key", "bands"), "key"), "open")
-    while not left.isEmpty():
+        left, n_left = cut_counted(left.join(one.select("key", "bands"), "key"), "open")
+    while n_left:
         # A partner of y is lighter than what y's shared part allows: so few of a bucket may be left that there is no pair.
         fits = f"least(shared, ashared) >= {threshold} * (weight + aweight - least(shared, ashared))"
         # Only the first ``leaders`` of a bucket are numbered, after each task has kept as many of its own; no bucket is put in order as a whole.
         place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("company"), "key"))
         front = left.select("band", "key", "company", "weight", "shared", "comp", "bands").withColumn("r", place).where(F.col("r") <= leaders).drop("r")
-        front = cut(front.select("band", *[F.col(c).alias(f"a{c}") for c in ("key", "company", "weight", "shared", "comp", "bands")]), "front")
-        small = F.broadcast(front) if front.count() <= BROADCAST_FRONT else front
+        front, n_front = cut_counted(front.select("band", *[F.col(c).alias(f"a{c}") for c in ("key", "company", "weight", "shared", "comp", "bands")]), "front")
+        small = F.broadcast(front) if n_front <= BROADCAST_FRONT else front
         # A pair is made under the member that comes first, in the first of the buckets that both are in, and so once.
         later = "(acompany > company OR acompany = company AND akey < key)"
         more = left.join(small, "band").where(f"{later} AND comp <> acomp AND {fits} AND band = array_intersect(bands, abands)[0]").select(F.col("akey").alias("a"), F.col("key").alias("b"))
-        found = cut(_compare(cut(more, "pairs"), texts, threshold).select("a", "b"), "links")
-        if not found.isEmpty():
+        found, n_found = cut_counted(_compare(cut(more, "pairs"), texts, threshold).select("a", "b"), "links")
+        if n_found:
             comp = _joined(comp, found)
         rest = left.join(front.select("band", F.col("akey").alias("key")), ["band", "key"], "left_anti").select("band", "key", "company", "weight", "shared", "bands")
-        left, leaders = _open(rest, comp), leaders * 4
+        (left, n_left), leaders = _open(rest, comp), leaders * 8
     # A text that is its own class has its key for a component.
     named = one.select("key", "rep").join(comp.select(F.col("id").alias("key"), "comp"), "key", "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
     # Only texts that belong with others have to look up the class; the rest are their own.
@@ -414,18 +414,17 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return cut(moved.unionByName(more.select("id", "comp").join(comp.select("id"), "id", "left_anti")), "comp")
 
 
-def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """The members of buckets in which texts of different classes are left, with ``comp``."""
+def _open(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, int]:
+    """The members of buckets in which texts of different classes are left, with ``comp``, and their number."""
     now = members.join(comp.select(F.col("id").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    now = cut(now, "members")
     mixed = _small(now.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("band"))
-    return cut(now.join(mixed, "band"), "open")
+    return cut_counted(now.join(mixed, "band"), "open")
 
 
 def _small(df: DataFrame) -> DataFrame:
     """``df`` as a table, broadcast if it is small; then large buckets stay where they are."""
-    df = cut(df, "small")
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    df, n = cut_counted(df, "small")
+    return F.broadcast(df) if n <= BROADCAST_KEYS else df
 
 
 def _shares(keys: DataFrame, texts: DataFrame) -> DataFrame:
