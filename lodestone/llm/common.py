@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,33 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_CUTS = itertools.count(1)
+
+
+def _trim(spark: SparkSession) -> None:
+    """Let the driver's C library hand freed memory back to the system: hundreds of jobs, each on threads of its own, leave much of it behind.
+
+    JVMs that don't know the command go on without it.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    of, kind = jvm.java.lang.Class.forName, jvm.java.lang.Class
+    try:
+        types = gateway.new_array(kind, 4)
+        types[0], types[1], types[2], types[3] = of("javax.management.ObjectName"), of("java.lang.String"), of("[Ljava.lang.Object;"), of("[Ljava.lang.String;")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        of("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except (Py4JError, Py4JJavaError):
+        pass
+
+
 def cut(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Later stages start from files that outlive any executor. The files go when the driver exits.
     """
+    if next(_CUTS) % 16 == 0:
+        _trim(df.sparkSession)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
