@@ -350,9 +350,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     one = cut(one, "texts")
     member = one.select("key", F.explode("bands").alias("band"))
     crowd = _small(member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    member = cut(member.join(crowd, "band").select("band", "key", "n"), "buckets")
-    rank = member.groupBy("key").agg(F.sum("n").alias("company"))
-    member = member.join(rank, "key").select("band", "key", "n", "company")
+    member = member.join(crowd, "band").groupBy("key").agg(F.sum("n").alias("company"), F.collect_list(F.struct("band", "n")).alias("in"))
+    member = cut(member.select("key", "company", F.explode("in").alias("x")).select("x.band", "key", "x.n", "company"), "buckets")
     lead = _small(member.groupBy("band").agg(F.max_by("key", F.struct("company", "key")).alias("lead")))
     member = cut(member.join(lead, "band"), "buckets")
     pairs = cut(member.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
@@ -422,9 +421,8 @@ def _open(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """``df`` as a table, broadcast if it is small; then large buckets stay where they are."""
-    df, n = cut_counted(df, "small")
-    return F.broadcast(df) if n <= BROADCAST_KEYS else df
+    """``df``, an aggregation of a table, broadcast if it has few rows, so that large buckets stay where they are. It is counted and worked out again."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
 def _shares(keys: DataFrame, texts: DataFrame) -> DataFrame:
