@@ -36,9 +36,9 @@ DF_CELLS = 1 << 18
 #: Texts that are compared with a leader in one place.
 PAIRS = 2048
 #: Leaders that may be broadcast (some 300 bytes each); more are joined by a shuffle, in which large buckets can be split.
-BROADCAST_FRONT = 50_000
-#: Text keys that may be broadcast (about 50 bytes each in a hash table); more are joined by a shuffle.
-BROADCAST_KEYS = 300_000
+BROADCAST_FRONT = 10_000
+#: Keys of texts or buckets that may be broadcast (about 50 bytes each in a hash table; the driver holds several such tables); more are joined by a shuffle.
+BROADCAST_KEYS = 30_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.int64(0x5EED)  #: the one bucket of texts without words
 #: A shingle that every text has weighs 1, one that a single text has weighs 1 + IDF_SHARE.
