@@ -71,7 +71,7 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
 
     Later stages start from files that outlive any executor. The files go when the driver exits.
     """
-    if next(_CUTS) % 16 == 0:
+    if next(_CUTS) % 8 == 0:
         _trim(df.sparkSession)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
@@ -114,23 +114,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Returns (id, comp): every id that occurs in an edge, with the least id of its component. Each round is
     some aggregations with map-side combining; no neighbourhood is ever collected.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().persist()
-    rounds, held = 0, [e]
-    while not _stars(e):
-        rounds += 1
+    e, n = cut_counted(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    parts = n // 4096 + 1  # a round has no more edges than the one before
+    while n and not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        # What is kept in memory can be worked out again where an executor is lost; every fourth round is written, so that this never goes far back.
-        e = cut(small, "edges") if rounds % 4 == 0 else small.persist()
-        held.append(e)
+        small = cut(small.coalesce(parts), "edges")
+        discard(e)
+        e = small
     roots = e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    out = cut(roots.unionByName(roots.select(F.col("comp").alias("id"), "comp")).distinct(), "comp")
-    for x in held:
-        x.unpersist()
-    return out
+    return cut(roots.unionByName(roots.select(F.col("comp").alias("id"), "comp")).distinct().coalesce(parts), "comp")
 
 
 def _stars(e: DataFrame) -> bool:
