@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of rows that go to or come from a Python worker at a time.
-ARROW_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxBytesPerOutputBatch": "4m"}
+ARROW_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "1m", "spark.sql.execution.arrow.maxBytesPerOutputBatch": "1m"}
 
 
 def ship(spark: SparkSession) -> None:

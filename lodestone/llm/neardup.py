@@ -36,9 +36,9 @@ DF_CELLS = 1 << 18
 #: Texts that are compared with a leader in one place.
 PAIRS = 2048
 #: Leaders that may be broadcast (some 300 bytes each); more are joined by a shuffle, in which large buckets can be split.
-BROADCAST_FRONT = 10_000
+BROADCAST_FRONT = 20_000
 #: Keys of texts or buckets that may be broadcast (about 50 bytes each in a hash table; the driver holds several such tables); more are joined by a shuffle.
-BROADCAST_KEYS = 30_000
+BROADCAST_KEYS = 300_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.int64(0x5EED)  #: the one bucket of texts without words
 #: A shingle that every text has weighs 1, one that a single text has weighs 1 + IDF_SHARE.
@@ -214,6 +214,11 @@ def _open_cells(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - int(math.log2(OPEN_CELLS)))).astype(np.int64)
 
 
+def _marked(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Which of the cells are set in ``bits``, 64 cells a number."""
+    return ((bits[cells >> 6] >> (cells & 63)) & 1).astype(bool)
+
+
 def counted(texts: DataFrame) -> DataFrame:
     """(key, total, s, w) of ``texts`` (key, t): the shingles in order (as unsigned numbers), how often each occurs, and the sum of that."""
 
@@ -250,8 +255,6 @@ def weights(each: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     held = each.sparkSession.sparkContext.broadcast(flags)  # OPEN_CELLS bits: two megabytes
 
     def count(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.unpackbits(held.value.view(np.uint8), bitorder="little").view(bool)
-
         def sums(parts: list) -> pd.DataFrame:
             value, some = np.unique(np.concatenate(parts), return_counts=True)
             return pd.DataFrame({"s": value.view(np.int64), "df": some})
@@ -260,7 +263,7 @@ def weights(each: DataFrame, rows: DataFrame, n: int) -> DataFrame:
         for block in blocks:
             for _, part in _pieces(block["t"].tolist()):
                 _, s, _ = shingles(part)
-                parts.append(s[seen[_open_cells(s)]])
+                parts.append(s[_marked(held.value, _open_cells(s))])
                 size += len(parts[-1])
                 if size > 2_000_000:
                     yield sums(parts)
@@ -455,13 +458,12 @@ def _shares(keys: DataFrame, texts: DataFrame) -> DataFrame:
     held = spark.sparkContext.broadcast(flags)  # OPEN_CELLS bits: two megabytes
 
     def weigh(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.unpackbits(held.value.view(np.uint8), bitorder="little")
         for block in blocks:
             weight, shared_ = [], []
             for total, s, w in zip(block["total"], block["s"], block["w"], strict=True):
                 w = np.asarray(w, dtype=np.float64)
                 weight.append(total)
-                shared_.append(float(w[seen[_open_cells(np.asarray(s, dtype=np.int64).view(np.uint64))] == 1].sum()))
+                shared_.append(float(w[_marked(held.value, _open_cells(np.asarray(s, dtype=np.int64).view(np.uint64)))].sum()))
             yield pd.DataFrame({"key": block["key"], "weight": weight, "shared": shared_})
 
     return own.mapInPandas(weigh, "key long, weight double, shared double")
