@@ -43,8 +43,10 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.int64(0x5EED)  #: the one bucket of texts without words
 #: A shingle that every text has weighs 1, one that a single text has weighs 1 + IDF_SHARE.
 IDF_SHARE = 0.5
-#: Cells in which the shingles of candidates, and of open texts, are marked (a bit each).
+#: Cells in which the shingles of open texts are marked (a bit each).
 OPEN_CELLS = 1 << 24
+#: Bits of the filter of shingles whose frequency is counted, for each of them; its bits at most, which each Python worker holds (64 megabytes); its 64-bit numbers in a page.
+FILTER_BITS, FILTER_MOST, FILTER_PAGE = 16, 1 << 29, 4096
 _BASE = 0x100000001B3  #: odd, so it has an inverse modulo 2**64
 
 
@@ -91,9 +93,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(np.append(np.searchsorted(first, start), len(first)))
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, shingle hash, count), sorted by text and hash. A text of fewer than five words is one shingle."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def all_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, shingle hash) of every shingle, in no order. A text of fewer than five words is one shingle."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if not texts:
         return none
     flat, n = word_hashes(texts)
@@ -114,10 +116,19 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 s = s * _M + h
         owner.append(np.array([i]))
         values.append(_mix(np.array([s], dtype=np.uint64)))
-    if not owner:
-        return none
-    o, v = np.concatenate(owner), np.concatenate(values)
-    order = np.lexsort((v, o))
+    return (np.concatenate(owner), np.concatenate(values)) if owner else none
+
+
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, shingle hash, count), sorted by text and hash."""
+    return _grouped(*all_shingles(texts))
+
+
+def _grouped(o: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of text and shingle in order, and how often each occurs."""
+    order = np.argsort(v)
+    by = o[order]
+    order = order[np.argsort(by.astype(np.uint16) if len(o) and o.max() < 1 << 16 else by, kind="stable")]  # 16 bits are sorted by counting
     o, v = o[order], v[order]
     new = np.ones(len(o), dtype=bool)
     new[1:] = (o[1:] != o[:-1]) | (v[1:] != v[:-1])
@@ -177,7 +188,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def _pieces(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+def _pieces(texts: list[str], chars: int = 250_000) -> Iterator[tuple[int, list[str]]]:
     start = 0
     while start < len(texts):
         end, size = start, 0
@@ -196,8 +207,9 @@ def cell_idf(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
         for block in blocks:
             rows += len(block)
             for _, part in _pieces(block.iloc[:, 0].tolist()):
-                owner, s, _ = shingles(part)
-                own = np.unique(owner * DF_CELLS + _cells(s))  # a document counts once in a cell
+                owner, s = all_shingles(part)
+                own = np.sort(owner * DF_CELLS + _cells(s))
+                own = own[np.diff(own, prepend=-1) > 0]  # a document counts once in a cell
                 cells += np.bincount(own % DF_CELLS, minlength=DF_CELLS)
         at = np.flatnonzero(cells)
         yield pd.DataFrame({"cell": np.append(at, -1), "n": np.append(cells[at], rows)})
@@ -219,6 +231,39 @@ def _marked(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return ((bits[cells >> 6] >> (cells & 63)) & 1).astype(bool)
 
 
+def filter_words(n: int) -> int:
+    """64-bit numbers in a filter of ``n`` shingles, a power of two."""
+    return max(FILTER_PAGE, 1 << math.ceil(math.log2(max(1, min(n * FILTER_BITS, FILTER_MOST) / 64))))
+
+
+def _spots(s: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of a filter in which each shingle is marked, and its three bits there."""
+    one, low = np.uint64(1), np.uint64(63)
+    bits = one << (s & low) | one << (s >> np.uint64(6) & low) | one << (s >> np.uint64(12) & low)
+    return (s >> np.uint64(65 - n_words.bit_length())).astype(np.int64), bits.view(np.int64)
+
+
+def _merged(w: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, and all bits of each."""
+    order = np.argsort(w)
+    w, bits = w[order], bits[order]
+    at = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
+    return w[at], np.bitwise_or.reduceat(bits, at) if len(at) else bits
+
+
+def _gathered(arrays: Iterator[np.ndarray], most: int = 2_000_000) -> Iterator[np.ndarray]:
+    """The arrays joined, up to some two million values at a time."""
+    parts, size = [], 0
+    for a in arrays:
+        parts.append(a)
+        size += len(a)
+        if size > most:
+            yield np.concatenate(parts)
+            parts, size = [], 0
+    if size:
+        yield np.concatenate(parts)
+
+
 def counted(texts: DataFrame) -> DataFrame:
     """(key, total, s, w) of ``texts`` (key, t): the shingles in order (as unsigned numbers), how often each occurs, and the sum of that."""
 
@@ -234,44 +279,51 @@ def counted(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(own, "key long, total double, s array<long>, w array<float>")
 
 
-def weights(each: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """(key, total, s, w) of ``each``, which counted() made: the same with each count times the shingle's weight.
+def occurrences(each: DataFrame, rows: DataFrame) -> DataFrame:
+    """(s, df): in how many rows of ``rows`` (t) the shingles of ``each``, which counted() made, are; several lines for a shingle add up.
 
-    df is exact over the ``n`` rows of ``rows`` (t). A shingle of one row adds to the total alone, as no other text shares it. Only shingles in cells
-    that ``each`` marks are counted; a cell that others share makes more to count, no other count.
+    A filter of the shingles of ``each`` tells which are counted. It grows with ``each``, so the others that it lets through stay a small part.
     """
+    n_words = filter_words(each.agg(F.sum(F.size("s"))).first()[0] or 0)
 
     def mark(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = np.zeros(OPEN_CELLS, dtype=bool)
-        for block in blocks:
-            flags[_open_cells(np.concatenate([np.asarray(s, dtype=np.int64) for s in block["s"]]).view(np.uint64))] = True
-        words = np.packbits(flags, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pd.DataFrame({"w": at.astype(np.int32), "bits": words[at]})
-
-    marked = each.where("size(s) > 0").select("s").mapInPandas(mark, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
-    flags = np.zeros(OPEN_CELLS // 64, dtype=np.int64)
-    flags[marked["w"].to_numpy(dtype=np.int64)] = marked["bits"].to_numpy(dtype=np.int64)
-    held = each.sparkSession.sparkContext.broadcast(flags)  # OPEN_CELLS bits: two megabytes
+        for s in _gathered(np.asarray(s, dtype=np.int64).view(np.uint64) for block in blocks for s in block["s"]):
+            w, bits = _merged(*_spots(np.unique(s), n_words))
+            yield pd.DataFrame({"page": (w // FILTER_PAGE).astype(np.int32), "w": (w % FILTER_PAGE).astype(np.int32), "bits": bits})
+
+    def merge(page: pd.DataFrame) -> pd.DataFrame:
+        words = np.zeros(FILTER_PAGE, dtype=np.int64)
+        w, bits = _merged(page["w"].to_numpy(dtype=np.int64), page["bits"].to_numpy(dtype=np.int64))
+        words[w] = bits
+        return pd.DataFrame({"page": page["page"].iloc[:1], "bits": [words.tobytes()]})
+
+    marked = each.where("size(s) > 0").select("s").mapInPandas(mark, "page int, w int, bits long").groupBy("page").applyInPandas(merge, "page int, bits binary")
+    words = np.zeros(n_words, dtype=np.int64)
+    for page, bits in marked.toPandas().itertuples(index=False):
+        words[page * FILTER_PAGE : (page + 1) * FILTER_PAGE] = np.frombuffer(bits, dtype=np.int64)
+    held = each.sparkSession.sparkContext.broadcast(words)
 
     def count(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def sums(parts: list) -> pd.DataFrame:
-            value, some = np.unique(np.concatenate(parts), return_counts=True)
-            return pd.DataFrame({"s": value.view(np.int64), "df": some})
+        def some(part: list[str]) -> np.ndarray:
+            owner, s = all_shingles(part)
+            w, bits = _spots(s, n_words)
+            here = held.value[w] & bits == bits
+            return _grouped(owner[here], s[here])[1]  # a document counts once for a shingle
 
-        parts, size = [], 0
-        for block in blocks:
-            for _, part in _pieces(block["t"].tolist()):
-                _, s, _ = shingles(part)
-                parts.append(s[_marked(held.value, _open_cells(s))])
-                size += len(parts[-1])
-                if size > 2_000_000:
-                    yield sums(parts)
-                    parts, size = [], 0
-        if size:
-            yield sums(parts)
-
-    df = rows.select("t").mapInPandas(count, "s long, df long").groupBy("s").agg(F.sum("df").alias("df")).where("df > 1")
+        for s in _gathered(some(part) for block in blocks for _, part in _pieces(block["t"].tolist())):
+            value, df = np.unique(s, return_counts=True)
+            yield pd.DataFrame({"s": value.view(np.int64), "df": df})
+
+    return rows.select("t").mapInPandas(count, "s long, df long")
+
+
+def weights(each: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(key, total, s, w) of ``each``, which counted() made: the same with each count times the shingle's weight.
+
+    df is exact over the ``n`` rows of ``rows`` (t). A shingle of one row adds to the total alone, as no other text shares it. Shingles
+    that are not in ``each`` make more to count, no other count.
+    """
+    df = occurrences(each, rows).groupBy("s").agg(F.sum("df").alias("df")).where("df > 1")
     flat = each.select("key", F.explode_outer(F.arrays_zip("s", "w")).alias("x")).select("key", F.col("x.s").alias("s"), F.col("x.w").alias("c"))
     weight = (F.col("c") * (1 + IDF_SHARE * F.log(n / F.coalesce("df", F.lit(1))) / math.log(n + 1.5))).cast("float")
     x = F.array_sort(F.filter(F.collect_list(F.struct((F.col("s").bitwiseXOR(F.lit(-(1 << 63)))).alias("o"), F.when(F.col("df").isNotNull(), weight).alias("w"))), lambda e: e["w"].isNotNull()))

@@ -699,3 +699,32 @@ def test_decontamination_recall(spark):
     got = {(x["doc_id"], x["item"]) for x in decontaminate.overlaps(df, bench).collect()}
     want = brute_overlaps(docs, items)
     assert len(want) > 80 and got == want
+
+
+def test_near_duplicate_filter_grows_with_its_shingles(spark):
+    """Marks in a fixed number of cells let more of all other shingles through, the more there are to count."""
+    s = neardup.word_hashes([" ".join(f"w{k}" for k in range(2_200_000))])[0]
+    other = s[2_000_000:]
+    for n in (0, 1, 5_000, 100_000, 2_000_000):
+        words = np.zeros(neardup.filter_words(n), dtype=np.int64)
+        w, bits = neardup._merged(*neardup._spots(s[:n], len(words)))
+        words[w] = bits
+        has = lambda x: words[(y := neardup._spots(x, len(words)))[0]] & y[1] == y[1]  # noqa: B023, E731
+        assert has(s[:n]).all() and has(other).mean() < 0.01
+    assert neardup.filter_words(1 << 50) * 64 == neardup.FILTER_MOST
+
+
+def test_near_duplicate_counting_makes_few_rows(spark):
+    """Of 3 million shingles in all rows, nearly none but those asked for are counted (the marks let 8 % of the others through)."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(2000)) for _ in range(1500)]
+    rows_ = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, t string").repartition(4).cache()
+    each = neardup.counted(rows_.where("key < 750"))
+    got = {x["key"]: x for x in neardup.weights(each.where("key < 3"), rows_.unionByName(rows_.where("key < 3")), 1503).collect()}
+    one = 1 + neardup.IDF_SHARE * math.log(1503 / 2) / math.log(1504.5)
+    for k in range(3):
+        s = neardup.shingles([texts[k]])[1]
+        assert got[k]["s"] == s.view(np.int64).tolist() and got[k]["total"] == pytest.approx(len(s) * one, rel=1e-6)
+    own = each.select(F.explode("s").alias("s")).distinct()
+    made = neardup.occurrences(each, rows_).groupBy("s").agg(F.sum("df").alias("df")).cache()
+    assert made.join(own, "s", "left_semi").count() == own.count() and made.count() < 1.02 * own.count()
