@@ -728,3 +728,27 @@ def test_near_duplicate_counting_makes_few_rows(spark):
     own = each.select(F.explode("s").alias("s")).distinct()
     made = neardup.occurrences(each, rows_).groupBy("s").agg(F.sum("df").alias("df")).cache()
     assert made.join(own, "s", "left_semi").count() == own.count() and made.count() < 1.02 * own.count()
+
+
+def test_search_of_long_queries_equals_pruned_search(monkeypatch):
+    """A query of many terms sums all its postings at once; scores, ties and thresholds from elsewhere are as with block bounds."""
+    rng = np.random.default_rng(3)
+    terms = [np.unique(rng.zipf(1.3, 300) % 20000).astype(np.int64) for _ in range(1000)]
+    terms[500:520] = [terms[3]] * 20
+    tfs = [rng.integers(1, 5, len(t)).astype(np.int32) for t in terms]
+    tfs[500:520] = [tfs[3]] * 20
+    of = {k: search._unpack(v) for k, v in search.Shard.build(list(range(1000)), list(range(1000)), [1] * 1000, terms, tfs).items()}
+    s = search.Shard(of["keys"].astype(np.int64), of["reps"].astype(np.int64), of["lens"], of["terms"].astype(np.int64), of["start"].astype(np.int64), of["who"], of["tf"].astype(np.int32), of["lens"].mean())
+    calls = []
+    monkeypatch.setattr(search.np, "argsort", lambda *a, f=np.argsort, **k: calls.append(1) or f(*a, **k))
+    for q in (0, 3, 40, 999):
+        assert len(terms[q]) >= search.LONG_QUERY
+        w = rng.random(len(terms[q])) * 3
+        for floor in (0.0, 20.0, 1e9):
+            calls.clear()
+            got = s.best(terms[q], w, 10, floor)
+            assert not calls  # no block is put in order
+            with monkeypatch.context() as m:
+                m.setattr(search, "LONG_QUERY", 10**9)
+                want = s.best(terms[q], w, 10, floor)
+            assert len(got[0]) == len(want[0]) and np.array_equal(got[0], want[0]) and np.allclose(got[1], want[1], atol=1e-9)
