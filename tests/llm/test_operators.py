@@ -752,3 +752,44 @@ def test_search_of_long_queries_equals_pruned_search(monkeypatch):
                 m.setattr(search, "LONG_QUERY", 10**9)
                 want = s.best(terms[q], w, 10, floor)
             assert len(got[0]) == len(want[0]) and np.array_equal(got[0], want[0]) and np.allclose(got[1], want[1], atol=1e-9)
+
+
+def test_long_queries_are_scored_together_and_exactly(monkeypatch):
+    """Lists that long queries share are read once for all of them; results are those of one query at a time to the last digit, in batches of any size."""
+    rng = np.random.default_rng(5)
+    terms = [np.unique(rng.zipf(1.3, 300) % 20000 * 4 + i % 4).astype(np.int64) for i in range(1000)]
+    tfs = [rng.integers(1, 5, len(t)).astype(np.int32) for t in terms]
+    for i in range(500, 520):  # equal bags of words
+        terms[i], tfs[i] = terms[3], tfs[3]
+    of = {k: search._unpack(v) for k, v in search.Shard.build(list(range(1000)), list(range(1000, 0, -1)), [1] * 1000, terms, tfs).items()}
+    s = search.Shard(of["keys"].astype(np.int64), of["reps"].astype(np.int64), of["lens"], of["terms"].astype(np.int64), of["start"].astype(np.int64), of["who"], of["tf"].astype(np.int32), of["lens"].mean())
+    asked = [np.sort(np.append(terms[q], [10**6 + q])) for q in [*range(0, 1000, 3), 500]]  # one term that no entry has
+    ws = [rng.random(len(t)) * 3 for t in asked]
+    floors = np.array([(0.0, 20.0, 1e9)[i % 3] for i in range(len(asked))])
+    start = np.append(0, np.cumsum([len(t) for t in asked]))
+    for batch, scores, impacts, cells in ((256, 1 << 20, 1 << 21, 1 << 14), (256, 5000, 3000, 1), (7, 1 << 20, 500, 3000)):
+        for name, x in (("BATCH", batch), ("SCORES", scores), ("IMPACTS", impacts), ("CELLS", cells)):
+            monkeypatch.setattr(search, name, x)
+        s.read = s.total = 0
+        got = {q: x for q, *x in s.best_each(start, s.lists(np.concatenate(asked)), np.concatenate(ws), 30, floors)}
+        if batch == 256 and scores > 5000:
+            assert 0 < s.read < 0.5 * s.total
+        with monkeypatch.context() as m:
+            m.setattr(search, "LONG_QUERY", 10**9)
+            for q in range(0, len(asked), 4):
+                at, score = s.best(asked[q], ws[q], 30, floors[q])
+                assert (q in got) == (len(at) > 0)
+                assert not len(at) or np.array_equal(got[q][0], at) and np.array_equal(got[q][1], score)
+
+
+def test_search_by_long_queries_equals_brute_force(spark, monkeypatch):
+    """Queries on both sides of BATCH_TERMS, in several shards and sets; texts with equal words, and all rows of a table as queries."""
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 900)
+    monkeypatch.setattr(search, "QUERY_TERMS", 500)
+    monkeypatch.setattr(search, "BATCH_TERMS", 20)
+    monkeypatch.setattr(search, "BLOCK", 8)
+    texts = [prose(i, 5 + i % 50) for i in range(100)] + [prose(3, 40)] * 9 + [prose(3, 40) + "?" * i for i in range(1, 9)] + [None, "", "?"]
+    data = rows(texts)
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {(x["query_id"], x["rank"], x["doc_id"], round(x["score"], 6)) for x in search.top_k(df, df.where("doc_id % 5 = 0"), 7).collect()}
+    assert got == brute_search([(x[0], x[1]) for x in data], [(x[0], x[1]) for x in data if x[0] % 5 == 0], 7)
