@@ -104,6 +104,17 @@ def test_groups_flatten_collections(s):
     assert (r["n"], r["s"], r["a"], r["v"], r["lo"]) == (4, 10, 2.5, pytest.approx(1.25), 1) and len(r["h"]) == 4
 
 
+def test_mean_of_times_is_exact(spark):
+    """The mean is of all microseconds and rounded, as in DuckDB, however many rows there are; a group without times has none."""
+    s = Session(spark)
+    rows = spark.range(200_000).selectExpr("id", "id % 2 = 0 AS even", "timestamp_micros(892683887040000 + (id % 2) * 3 + id * 1000000 - 99999500000) AS at", "CAST(NULL AS TIMESTAMP) AS none")
+    s.register("moments", rows, "id")
+    got = s.execute("SELECT AVG(at) AS mid, AVG(none) AS none FROM moments").selectExpr("unix_micros(mid) AS mid", "none").first()
+    assert (got["mid"], got["none"]) == (892683887040002, None)  # 1.5 more than the middle
+    got = s.execute("SELECT even, AVG(DISTINCT at) AS mid FROM moments WHERE id < 4 GROUP BY even").selectExpr("even", "unix_micros(mid) AS mid").collect()
+    assert dict(got) == {True: 892583888540000, False: 892583889540003}
+
+
 def test_errors(s):
     for q, e in [("SELECT nothing FROM t", Unknown), ("SELECT id FROM nowhere", Unknown), ("SELECT NOFUNCTION(1)", Unknown), ("SELECT CAST(1 AS NOTYPE)", SyntaxProblem), ("SELECT 1km + 1s", units.UnitMismatch), ("SELECT 5foo", SyntaxProblem), ("SELECT :missing", Unknown), ("SELECT id FROM t AS a, t AS b", Unknown)]:
         with pytest.raises(e):
