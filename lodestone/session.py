@@ -92,7 +92,8 @@ class Session:
 
     def index_text(self, name: str, *props: str, path: str | None = None) -> str:
         """Build (or build anew) the inverted index of text properties of a table with a key; MATCH on these properties then looks words up instead of
-        reading texts. The index is written in order of words to ``path``, or to the shared folder. It goes when the table changes."""
+        reading texts. The index is written to ``path``, or to the shared folder, as many files, each in order of words, so that no word has to fit into
+        one. It goes when the table changes."""
         import uuid
 
         from lodestone.operators import text_search
@@ -103,7 +104,7 @@ class Session:
         props = props or tuple(f.name for f in table.schema if isinstance(f.dataType, T.StringType))
         path = path or f"{shared_dir(self.spark)}/words-{uuid.uuid4().hex}"
         found = text_search.index(self.spark.table(table.view), table.key, *props)
-        found.sort("word").write.mode("overwrite").parquet(path)
+        found.sortWithinPartitions("word").write.mode("overwrite").parquet(path)
         view = fresh("w")
         self.spark.read.schema(found.schema).parquet(path).createOrReplaceTempView(view)
         self.text_indexes |= {(table.name.lower(), p.lower()): view for p in props}
@@ -455,6 +456,8 @@ class Session:
 
 _SHIPPED: set[str] = set()
 _READY: set[str] = set()
+#: Bytes of rows that go to a Python worker at a time, unless the session says so itself.
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch", "1m"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -470,11 +473,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, for the few functions that run in Python."""
+    """Send this package to the executors, once for each application, for the few functions that run in Python, and bound their batches by bytes."""
     import tempfile
     import zipfile
     from pathlib import Path
 
+    if _ARROW[0] not in spark.conf.getAll:
+        spark.conf.set(*_ARROW)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
