@@ -38,7 +38,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lists = batch.columns
         kind, seen = lists.type.value_type, lists.flatten().dictionary_encode()
         numbers: dict[str, int] = {}
-        of = [numbers.setdefault(stem(w), len(numbers)) if len(w) >= LEAST and w not in STOP_WORDS else -1 for w in seen.dictionary.to_pylist()]
+        of = [numbers.setdefault(stem(w), len(numbers)) if len(w) >= LEAST and w not in STOP_WORDS else -1 for w in seen.dictionary.to_numpy(zero_copy_only=False).tolist()]
         code = np.array(of, dtype=np.int64)[seen.indices.to_numpy()]
         row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())[code >= 0]
         cell, n = np.unique(row * len(numbers) + code[code >= 0], return_counts=True)
